@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tideline.llm.batches import held_out
+from tideline.llm.language import identify_language, learn_profiles
+from tideline.llm.media import media_digests
 from tideline.llm.pieces import encode_documents
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -16,12 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify_language(docs, learn_profiles(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_media": op2_media,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_language": op7_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
