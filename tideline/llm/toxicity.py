@@ -58,8 +58,9 @@ class Subwords:
             best = float((total[self.window :] - total[: -self.window]).max()) / self.window + bias
         return float(1 / (1 + np.exp(-np.clip(best, -30, 30))))
 
-    def fit(self, rows: list[tuple[str, int]], epochs: int = 6, batch: int = 64, rate: float = 0.5) -> Subwords:
-        """Adagrad over documents; rows are (text, 0 or 1). Classes are weighted to balance."""
+    def fit(self, rows: list[tuple[str, int]], epochs: int = 6, batch: int = 64, rate: float = 0.5, balance: float = 0.7) -> Subwords:
+        """Adagrad over documents; rows are (text, 0 or 1). Classes are weighted
+        by their inverse frequency to the power ``balance``."""
         number: dict[str, int] = {}
         texts = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int64) for t, _ in rows]
         labels = np.array([y for _, y in rows], np.int64)
@@ -69,7 +70,7 @@ class Subwords:
         first = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
         share = labels.mean()
-        weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+        weight = (np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) ** balance).astype(np.float32)
         rng = np.random.default_rng(self.seed)
         seen_v, seen_w, seen_b = np.full(self.buckets, 1e-6, np.float32), np.full_like(self.weights, 1e-6), np.full(2, 1e-6, np.float32)
         for epoch in range(epochs):
