@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from tideline.llm.batches import held_out
 from tideline.llm.language import identify_language, learn_profiles
+from tideline.llm.lines import dedup_lines
 from tideline.llm.media import media_digests
 from tideline.llm.pieces import encode_documents
 from tideline.llm.quality import robust_outliers
 from tideline.llm.toxicity import learn_toxicity, score_toxicity
+from tideline.llm.urls import filter_urls
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -32,6 +34,20 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+#: The contract's rules: host, path, verdict.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return filter_urls(table(spark, sf_dir, "pages"), rules)
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -49,9 +65,46 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_media": op2_media,
+    "op4_lines": op4_lines,
+    "op5_urls": op5_urls,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_language": op7_language,
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: A-Z lower-cased, nothing else, in DuckDB.
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP4 = f"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
+  FROM documents
+), k AS (
+  SELECT doc_id, place, line, {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l
+), twice AS (
+  SELECT key, min(doc_id) AS keeper FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1
+), j AS (
+  SELECT k.doc_id, k.place, k.line, coalesce(k.doc_id <> t.keeper, false) AS gone FROM k LEFT JOIN twice t ON k.key = t.key
+)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id
+"""
+
+_OP5 = f"""
+WITH rules(host, path, verdict) AS (VALUES {', '.join(map(repr, URL_RULES))}),
+r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+u AS (
+  SELECT page_id, coalesce({_LOWER.format("regexp_extract(rest, '^[^/?#]*', 0)")}, '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM r
+), f AS (
+  SELECT u.page_id, u.host, u.path, s.host || s.path AS rule, s.verdict,
+         row_number() OVER (PARTITION BY u.page_id ORDER BY length(s.host || s.path) DESC NULLS LAST) AS n
+  FROM u LEFT JOIN rules s ON (u.host = s.host OR ends_with(u.host, '.' || s.host)) AND starts_with(u.path, s.path)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f WHERE n = 1
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_lines": _OP4, "op5_urls": _OP5}
