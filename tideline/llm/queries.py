@@ -12,10 +12,12 @@ from tideline.llm.batches import held_out
 from tideline.llm.language import identify_language, learn_profiles
 from tideline.llm.lines import dedup_lines
 from tideline.llm.media import media_digests
+from tideline.llm.mixing import mix
 from tideline.llm.pieces import encode_documents
 from tideline.llm.quality import robust_outliers
 from tideline.llm.toxicity import learn_toxicity, score_toxicity
 from tideline.llm.urls import filter_urls
+from tideline.llm.warc import archive_pages
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -34,6 +36,10 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -58,6 +64,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_outliers(table(spark, sf_dir, "documents"))
 
@@ -65,10 +75,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_media": op2_media,
+    "op3_warc": op3_warc,
     "op4_lines": op4_lines,
     "op5_urls": op5_urls,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_language": op7_language,
+    "op8_mixing": op8_mixing,
     "op10_quality": op10_quality,
 }
 
