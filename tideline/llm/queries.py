@@ -13,6 +13,7 @@ from tideline.llm.language import identify_language, learn_profiles
 from tideline.llm.lines import dedup_lines
 from tideline.llm.media import media_digests
 from tideline.llm.mixing import mix
+from tideline.llm.near import near_duplicates
 from tideline.llm.pieces import encode_documents
 from tideline.llm.quality import robust_outliers
 from tideline.llm.toxicity import learn_toxicity, score_toxicity
@@ -68,6 +69,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_outliers(table(spark, sf_dir, "documents"))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_language": op7_language,
     "op8_mixing": op8_mixing,
+    "op9_near": op9_near,
     "op10_quality": op10_quality,
 }
 
@@ -119,4 +125,25 @@ u AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f WHERE n = 1
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_lines": _OP4, "op5_urls": _OP5}
+_OP9 = f"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [hash(w)]
+         ELSE list_transform(range(1, len(w) - 2), lambda i: hash(w[i:i+3])) END) AS g
+  FROM d
+), n AS MATERIALIZED (
+  SELECT d.doc_id, count(s.g) AS n_shingles FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
+), e AS MATERIALIZED (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id
+  JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id
+  WHERE 100 * least(p.n_shingles, q.n_shingles) >= 80 * greatest(p.n_shingles, q.n_shingles)
+  GROUP BY x.doc_id, y.doc_id, p.n_shingles, q.n_shingles
+  HAVING 100 * count(*) >= 80 * (p.n_shingles + q.n_shingles - count(*))
+), r AS (
+  SELECT doc_id, doc_id AS c FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id WHERE e.b > r.c
+), m AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
+SELECT n.doc_id, n.n_shingles, m.c AS component_id, n.doc_id = m.c AS kept FROM n JOIN m USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_near": _OP9, "op4_lines": _OP4, "op5_urls": _OP5}
