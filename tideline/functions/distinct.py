@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def digamma(x: float) -> float:
@@ -64,12 +65,12 @@ def horvitz_thompson(n_j: float, n: float, fraction: float) -> float:
     return 1 / max(1e-12, 1 - miss(final, n, total))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def moment_udf(d: pd.Series, n: pd.Series, total: pd.Series) -> pd.Series:
     return pd.Series([moment_estimate(*x) for x in zip(d.astype(float), n.astype(float), total.astype(float), strict=True)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def horvitz_udf(n_j: pd.Series, n: pd.Series, fraction: pd.Series) -> pd.Series:
     return pd.Series(np.array([horvitz_thompson(*x) for x in zip(n_j.astype(float), n.astype(float), fraction, strict=True)]), dtype=float)
 
