@@ -93,6 +93,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: A-Z lower-cased, nothing else, in DuckDB.
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_HEX = "(instr('0123456789abcdef', substr(hex || '00', {}, 1)) - 1)"
+_OP3 = f"""
+WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (
+  SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+         array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (
+           (({_HEX.format("5 * i // 4 + 1")} * 256 + {_HEX.format("5 * i // 4 + 2")} * 16 + {_HEX.format("5 * i // 4 + 3")}) >> (7 - 5 * i % 4)) & 31) AS BIGINT), 1)), '') AS payload_digest
+  FROM d
+), m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM b)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM m
+"""
+
 _OP4 = f"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -146,4 +160,4 @@ WITH RECURSIVE d AS MATERIALIZED (
 SELECT n.doc_id, n.n_shingles, m.c AS component_id, n.doc_id = m.c AS kept FROM n JOIN m USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_near": _OP9, "op4_lines": _OP4, "op5_urls": _OP5}
+ORACLE_SQL: dict[str, str] = {"op3_warc": _OP3, "op9_near": _OP9, "op4_lines": _OP4, "op5_urls": _OP5}
