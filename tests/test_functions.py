@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tideline.functions.distinct import digamma, horvitz_thompson, miss, moment_estimate
-from tideline.functions.forecast import lines, recursive_forecast, running_mean, select_forecast, smooth, trends, window_forecast
+from tideline.functions.forecast import forecast_columns, lines, recursive_forecast, running_mean, select_forecast, smooth, trends, window_forecast
 
 
 def test_smoothing_values():
@@ -68,3 +68,9 @@ def test_distinct_edges():
     assert moment_estimate(9, 10, 50) <= 50
     assert horvitz_thompson(3, 10, 1.0) == 1
     assert horvitz_thompson(1, 100, 0.5) == pytest.approx(1 / (1 - miss(2, 100, 200)))
+
+
+def test_row_forecast(spark):
+    df = spark.createDataFrame([(float(i), 2.0 * i, 5.0) for i in range(1, 8)], "t double, a double, b double")
+    last = forecast_columns(df, [], ["a", "b"], 10.0).where("t = 7").first()
+    assert (last.a, last.b) == pytest.approx((20, 5))

@@ -4,6 +4,8 @@ from pyspark.sql import types as T
 
 from tideline.operators.aggregates import argmax, first_last, keep_first
 from tideline.operators.joins import broadcast_if_small, compare_scalar, hash_join, merge_join, not_exists
+from tideline.plans.trace import plan_nodes, to_dot
+from tideline.sources.convert import delimited_to_parquet, number_table, split_rows
 from tideline.sources.tables import list_files, load, natural_key, read_table, sniff_format, write_delimited, write_epochs
 from tideline.streaming.runner import ProgressiveStream, run_progressive
 
@@ -99,3 +101,20 @@ def test_stream_gives_the_batch_snapshots(spark, tmp_path):
     expected = {(e, r.l_returnflag): (r.n_final, r.l_quantity_sum) for e, _, df in run_progressive(epochs, ["l_returnflag"], ["l_quantity"], progress(epochs, 3), 3) for r in df.collect()}
     assert len(times) == 3 and got.keys() == expected.keys()
     assert all(got[k] == pytest.approx(expected[k]) for k in got)
+
+
+def test_converters(spark, tmp_path):
+    (tmp_path / "a.tbl").write_text("3|x|\n1|y|\n")
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())])
+    delimited_to_parquet(spark, str(tmp_path / "a.tbl"), str(tmp_path / "p"), schema, order=["a"])
+    assert [r.a for r in spark.read.parquet(str(tmp_path / "p")).orderBy("a").collect()] == [1, 3]
+    split_rows(spark.range(10).coalesce(1), str(tmp_path / "s"), 4)
+    assert len(list((tmp_path / "s").glob("*.parquet"))) == 3
+    one, two = (number_table(spark, 100, partitions=n).groupBy("ci", "x").count() for n in (1, 5))
+    assert one.subtract(two).isEmpty() and one.agg(F.max("ci")).first()[0] < 4
+
+
+def test_trace(spark):
+    df = spark.range(10).groupBy((F.col("id") % 3).alias("k")).count()
+    nodes = plan_nodes(df)
+    assert nodes[0][1] is None and any(name == "Exchange" for *_, name in nodes) and "->" in to_dot(df)

@@ -90,6 +90,13 @@ def recursive_forecast(series: DataFrame, keys: list[str], target: float, method
     return series.groupBy(F.lit(0)).applyInPandas(work, schema)
 
 
+def forecast_columns(series: DataFrame, keys: list[str], columns: list[str], target: float, method: str = "selector") -> DataFrame:
+    """Row forecast: several value columns of ``keys, t`` at once, one estimator per column and key."""
+    long = series.unpivot([*keys, "t"], columns, "column", "v").withColumn("v", F.col("v").cast("double"))
+    done = recursive_forecast(long, [*keys, "column"], target, method)
+    return done.groupBy(*keys, "t").pivot("column", columns).agg(F.first("forecast"))
+
+
 def window_forecast(series: DataFrame, keys: list[str], target: float, method: str) -> DataFrame:
     """``tail``, ``mean``, ``ols`` or ``trend`` (mean trend from the last value), as window expressions."""
     order = Window.partitionBy(*keys).orderBy("t")

@@ -15,9 +15,11 @@ from tideline.functions.metrics import accuracy
 from tideline.functions.scaling import half_width, ratio_variance, scale
 from tideline.operators.aggregates import argmax, first_last, keep_first
 from tideline.operators.epochs import key_epochs, progress, shuffled_epochs
+from tideline.operators.mapping import apply, apply_at_end, apply_with_fraction
 from tideline.operators.joins import compare_scalar, exists, hash_join, merge_join, not_exists
 from tideline.operators.progressive import blocked, blocked_rows, pair_snapshots, snapshots
 from tideline.plans.progressive import LINES, P, PLANS, oracle, oracle_ctes, run
+from tideline.sources.convert import integer_cents, number_table
 from tideline.sources.tables import load, read_delimited, register, write_delimited
 from tideline.storage import fresh_path
 
@@ -76,7 +78,34 @@ def shuffled_progress(spark, sf_dir):
 
 @query("SELECT * FROM nation")
 def map_identity(spark, sf_dir):
-    return load(spark, sf_dir, "nation").transform(lambda df: df)
+    return apply(load(spark, sf_dir, "nation"), lambda df: df)
+
+
+@query("SELECT * FROM nation WHERE false")
+def map_ignore(spark, sf_dir):
+    return apply(load(spark, sf_dir, "nation"), lambda df: None)
+
+
+@query(f"WITH scan AS ({LINES}), {T_SQL} SELECT t.epoch, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM scan) AS fraction, round(count(*) / (CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM scan))) AS predicted FROM t JOIN scan ON scan.epoch <= t.epoch GROUP BY t.epoch")
+def map_with_fraction(spark, sf_dir):
+    lines = key_epochs(load(spark, sf_dir, "lineitem", ["l_orderkey"]), P, "l_orderkey")
+    snaps = snapshots(lines, [], [], P)
+    return apply_with_fraction(snaps, progress(lines, P), lambda df: df.select("epoch", "fraction", F.round(F.col("group_rows") / F.col("fraction")).alias("predicted")))
+
+
+@query("SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag HAVING count(*) > 100")
+def map_at_end(spark, sf_dir):
+    return apply_at_end(_line_snaps(spark, sf_dir), lambda df: df.where("group_rows > 100").select("l_returnflag", F.col("group_rows").alias("n")), P)
+
+
+@query("SELECT l_orderkey, CAST(round(l_discount * 100) AS BIGINT) AS l_discount, CAST(round(l_tax * 100) AS BIGINT) AS l_tax, CAST(round(l_extendedprice) AS BIGINT) AS l_extendedprice FROM lineitem")
+def convert_integer_cents(spark, sf_dir):
+    return integer_cents(load(spark, sf_dir, "lineitem", ["l_orderkey", "l_discount", "l_tax", "l_extendedprice"]))
+
+
+@query()
+def convert_number_table(spark, sf_dir):
+    return number_table(spark, 1000)
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 20 AND (l_returnflag = 'R' OR NOT l_linestatus = 'O') AND l_discount BETWEEN 0.02 AND 0.05 AND l_tax <= l_discount AND l_returnflag <> 'N'")

@@ -22,9 +22,19 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nobody has used yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def drop_intermediate(spark: SparkSession) -> None:
+    """Delete everything this process has put into the shared folder, once results are stored."""
+    while _MADE:
+        drop_path(spark, _MADE.pop())
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
