@@ -9,7 +9,7 @@ everything up to an epoch anew, for every epoch.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,17 +36,20 @@ class Plan:
     variance: bool = False
     where: str = ""
     with_: str = ""
-    extra: list[str] = field(default_factory=list)
+    scaled: bool = True
+    qualify: str = ""
 
     def prelude(self) -> str:
         return f"WITH {self.with_} " if self.with_ else ""
 
 
 def fitted(spark: SparkSession, sf_dir: str, plan: Plan) -> DataFrame:
-    """The scaled snapshots of a plan."""
+    """The snapshots of a plan, scaled unless it says otherwise (groups that one chunk completes)."""
     register(spark, sf_dir, mentioned(plan.prelude() + plan.rows + plan.scan))
     rows = spark.sql(plan.prelude() + plan.rows)
     snaps = snapshots(rows, plan.keys, plan.sums, P, variance=plan.variance)
+    if not plan.scaled:
+        return snaps
     fit = growth_fit(snaps, progress(spark.sql(plan.scan), P))
     return scale(snaps, fit, plan.sums, variance=plan.variance)
 
@@ -55,6 +58,7 @@ def run(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = fitted(spark, sf_dir, plan)
         out = out.where(plan.where) if plan.where else out
+        out = out.withColumn("__chosen", F.expr(plan.qualify)).where("__chosen") if plan.qualify else out
         return out.selectExpr("epoch", *plan.keys, *(f"{e} AS {n}" for n, e in plan.result.items()))
 
     return query
@@ -76,7 +80,7 @@ def oracle_ctes(plan: Plan) -> str:
     var = "".join(f", {c}_var / n * n_final * n_final + n_final_var * ({c}_raw / n) * ({c}_raw / n) AS {c}_sum_var" for c in plan.sums) if plan.variance else ""
     if plan.variance:
         var += "".join(f", n_final_var * ({a}_raw / n) * ({b}_raw / n) AS {a}_{b}_cov" for i, a in enumerate(plan.sums) for b in plan.sums[i + 1 :])
-    final = "".join(f", {c}_raw / n * n_final AS {c}_sum" for c in plan.sums)
+    final = "".join(f", {c}_raw{' / n * n_final' if plan.scaled else ''} AS {c}_sum" for c in plan.sums)
     return f"""
         WITH {plan.with_ + ',' if plan.with_ else ''} base AS ({plan.rows}), scan AS ({plan.scan}),
         t AS (SELECT CAST(range AS INT) AS epoch FROM range({P})),
@@ -94,7 +98,7 @@ def oracle_ctes(plan: Plan) -> str:
 
 def oracle(plan: Plan) -> str:
     keys = "".join(f", {k}" for k in plan.keys)
-    return f"{oracle_ctes(plan)} SELECT epoch{keys}{''.join(f', {e} AS {n}' for n, e in plan.result.items())} FROM scaled {'WHERE ' + plan.where if plan.where else ''}"
+    return f"{oracle_ctes(plan)} SELECT epoch{keys}{''.join(f', {e} AS {n}' for n, e in plan.result.items())} FROM scaled {'WHERE ' + plan.where if plan.where else ''} {'QUALIFY ' + plan.qualify if plan.qualify else ''}"
 
 
 def half(variance: str, estimate: str) -> str:
@@ -169,6 +173,31 @@ PLANS: dict[str, Plan] = {
         ["l_returnflag", "l_linestatus"], ["q", "p", "d"], {"sum_qty": "round(q_sum, 2)", "sum_base_price": "round(p_sum, 2)", "sum_disc_price": "round(d_sum, 0)", "count_order": "n_final"}),
     "prog_q27": Plan(f"""SELECT {EPOCH}, CAST(round(l_extendedprice) AS BIGINT) * CAST(round(l_discount * 100) AS BIGINT) AS v FROM lineitem
         WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1997-01-01' AND CAST(round(l_discount * 100) AS BIGINT) BETWEEN 5 AND 7 AND l_quantity < 24""", [], ["v"], SUM),
+    "prog_q2": Plan(
+        f"""SELECT CAST(p_partkey % {P} AS INT) AS epoch, s_acctbal, s_name, n_name, p_partkey, ps_cost FROM offer JOIN best ON p_partkey = k AND ps_cost = low""",
+        ["s_acctbal", "s_name", "n_name", "p_partkey", "ps_cost"], [], {}, scan=f"SELECT CAST(ps_partkey % {P} AS INT) AS epoch FROM ps", scaled=False,
+        with_=PS + """, offer AS (SELECT s_acctbal, s_name, n_name, p_partkey, ps_cost FROM part JOIN ps ON p_partkey = ps_partkey JOIN supplier ON s_suppkey = ps_suppkey
+            JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE' AND p_size <= 25 AND p_type LIKE '%ARD'),
+            best AS (SELECT p_partkey AS k, min(ps_cost) AS low FROM offer GROUP BY p_partkey)""",
+        qualify="row_number() OVER (PARTITION BY epoch ORDER BY s_acctbal DESC, n_name, s_name, p_partkey) <= 100"),
+    "prog_q3": Plan(
+        f"""SELECT {EPOCH}, l_orderkey, o_orderdate, {REVENUE} AS v FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
+        WHERE c_mktsegment = 'BUILDING' AND o_orderdate < DATE '1996-03-15' AND l_shipdate > DATE '1996-03-15'""",
+        ["l_orderkey", "o_orderdate"], ["v"], {"revenue": "v_sum"}, scaled=False, qualify="row_number() OVER (PARTITION BY epoch ORDER BY v_sum DESC, l_orderkey) <= 10"),
+    "prog_q10": Plan(
+        f"""SELECT {EPOCH}, c_custkey, c_name, c_acctbal, n_name, {REVENUE} AS v FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
+        JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate >= DATE '1996-10-01' AND o_orderdate < DATE '1997-01-01' AND l_returnflag = 'R'""",
+        ["c_custkey", "c_name", "c_acctbal", "n_name"], ["v"], {"revenue": "v_sum"}, scaled=False, qualify="row_number() OVER (PARTITION BY epoch ORDER BY v_sum DESC, c_custkey) <= 20"),
+    "prog_q11": Plan(
+        f"""SELECT CAST(ps_partkey % {P} AS INT) AS epoch, ps_partkey, ps_cost * ps_qty AS cents FROM ps JOIN supplier ON ps_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+        WHERE n_name = 'NATION_8'""", ["ps_partkey"], ["cents"], {"value": "cents_sum / 100"}, scan=f"SELECT CAST(ps_partkey % {P} AS INT) AS epoch FROM ps", with_=PS, scaled=False,
+        qualify="cents_sum > 0.001 * sum(cents_sum) OVER (PARTITION BY epoch)"),
+    "prog_q18": Plan(
+        f"""SELECT CAST(o_orderkey % {P} AS INT) AS epoch, c_name, c_custkey, o_orderkey, o_orderdate, o_totalprice, CAST(l_quantity AS BIGINT) AS q
+        FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey
+        WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 250)""",
+        ["c_name", "c_custkey", "o_orderkey", "o_orderdate", "o_totalprice"], ["q"], {"sum_qty": "q_sum"}, scaled=False,
+        qualify="row_number() OVER (PARTITION BY epoch ORDER BY o_totalprice DESC, o_orderdate, o_orderkey) <= 100"),
     "ci_q1": Plan(Q1, ["l_returnflag", "l_linestatus"], ["qty", "price", "disc"], {
         "sum_qty": "round(qty_sum, 2)", "qty_half": half("qty_sum_var", "qty_sum"), "price_half": half("price_sum_var", "price_sum"), "disc_half": half("disc_sum_var", "disc_sum"),
         "count_half": half("n_final_var", "n_final"), "cov_qty_price": "round(qty_price_cov / (qty_sum * price_sum), 8)"}, variance=True, where="epoch >= 2"),
@@ -204,6 +233,18 @@ def prog_q15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled.join(F.broadcast(best), "epoch").where("total_revenue = best").drop("best")
 
 
+Q20 = Plan(
+    f"""SELECT {EPOCH}, s_name, ps_partkey, ps_qty, CAST(l_quantity AS BIGINT) AS q FROM lineitem JOIN ps ON ps_partkey = l_partkey AND ps_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey
+    JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey
+    WHERE p_name LIKE 'red%' AND n_name IN ('NATION_3', 'NATION_8', 'NATION_15') AND l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1998-01-01'""",
+    ["s_name", "ps_partkey", "ps_qty"], ["q"], {}, with_=PS, where="ps_qty > 0.5 * q_sum", scaled=False)
+
+
+def prog_q20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers with more stock of some part than half of what is shipped so far."""
+    return run(Q20)(spark, sf_dir).select("epoch", "s_name").distinct()
+
+
 def prog_q22(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers without a recent order among the epochs read: a customer leaves at the epoch of
     its first such order, so the first epoch decides and no snapshot is joined again."""
@@ -246,11 +287,12 @@ def deep_oracle(depth: int) -> str:
     return sql
 
 
-QUERIES |= {"prog_q13": prog_q13, "prog_q15": prog_q15, "prog_q22": prog_q22} | {f"prog_q30_d{d}": prog_q30(d) for d in (1, 2, 3)}
+QUERIES |= {"prog_q13": prog_q13, "prog_q20": prog_q20, "prog_q15": prog_q15, "prog_q22": prog_q22} | {f"prog_q30_d{d}": prog_q30(d) for d in (1, 2, 3)}
 ORACLE_SQL |= {
     "prog_q13": f"""{oracle_ctes(Q13)}, c AS (SELECT epoch, n_final AS c_count, count(*) AS custdist FROM scaled GROUP BY epoch, n_final)
         SELECT * FROM c UNION ALL SELECT epoch, 0.0 AS c_count, CAST((SELECT count(*) FROM customer) - sum(custdist) AS BIGINT) AS custdist FROM c GROUP BY epoch HAVING (SELECT count(*) FROM customer) > sum(custdist)""",
     "prog_q15": f"{oracle_ctes(Q15)}, r AS (SELECT epoch, l_suppkey, round(v_sum, 2) AS total_revenue FROM scaled) SELECT * FROM r WHERE total_revenue = (SELECT max(total_revenue) FROM r r2 WHERE r2.epoch = r.epoch)",
+    "prog_q20": f"SELECT DISTINCT epoch, s_name FROM ({oracle(Q20)})",
     "prog_q22": f"""WITH c AS (SELECT c_nationkey, c_custkey, CAST(c_acctbal AS DECIMAL(12,2)) AS bal FROM customer WHERE c_nationkey IN (3, 7, 8, 13, 15, 18, 20)),
         t AS (SELECT CAST(range AS INT) AS epoch FROM range({P}))
         SELECT t.epoch, c_nationkey AS cntrycode, count(*) AS numcust, CAST(sum(bal) AS DOUBLE) AS totacctbal FROM c, t
