@@ -8,10 +8,12 @@ threshold is missed with a probability of ``(1 - threshold) ** (trees * branch)`
 
 Comparisons inside a node use 8-bit minwise signatures to find candidates; every link that counts
 is confirmed on the full sets, built from the texts. Only connectivity matters to the
-result, so a node first proposes a spanning forest of its likely links; when those are confirmed
-or refuted, nodes whose documents are not all in one component are compared again, and then
-every candidate pair across components is confirmed. Nodes that do not shrink by branching (groups
-of near copies) are linked through a few pivots and compared across components in blocks.
+result, so a node first proposes a spanning forest of its likely links. When those are confirmed
+or refuted, nodes whose documents are not all in one component are compared again: documents
+with a candidate in another component get their full sets of shingle hashes, all such pairs of the
+node are compared on these, and a spanning forest of the true links is confirmed. Pairs that
+fail never leave the node. Nodes that do not shrink by branching (groups of near copies) are linked
+through a few pivots and compared across components in blocks.
 """
 
 from __future__ import annotations
@@ -141,38 +143,71 @@ class Union:
         return i != j
 
 
-def compare_node(ids: np.ndarray, n: np.ndarray, sig: np.ndarray, label: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """Candidate pairs of one node. Without labels a spanning forest of the likeliest ones, with
-    labels all pairs of different labels."""
-    if label is not None and (label == label[0]).all():
-        return []
-    out, edges = [], []
+def candidate_pairs(c: dict, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate places i < j of different documents of one node, in blocks, with their shares."""
+    ids, n, sig = c["id"], c["n"], c["sig"]
+    edges = []
     for at in range(0, len(ids), 256):
         i, j, share = likely(sig[at : at + 256], n[at : at + 256], sig[at:], n[at:], percent)
         i, j = i + at, j + at
         keep = (i < j) & (ids[i] != ids[j])
-        if label is not None:
-            keep &= label[i] != label[j]
         edges.append((i[keep], j[keep], share[keep]))
-    i, j, share = (np.concatenate(x) for x in zip(*edges, strict=True))
-    if label is None:
-        tree = Union(len(ids))
-        picks = [(a, b) for a, b in zip(*(x[np.argsort(-share, kind="stable")].tolist() for x in (i, j)), strict=True) if tree.join(a, b)]
-    else:
-        picks = list(zip(i.tolist(), j.tolist(), strict=True))
-    for a, b in picks:
-        x, y = int(ids[a]), int(ids[b])
-        out.append((min(x, y), max(x, y)))
-    return out
+    return tuple(np.concatenate(x) for x in zip(*edges, strict=True))
+
+
+def ordered(a: int, b: int) -> tuple[int, int]:
+    return (a, b) if a < b else (b, a)
 
 
-PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+def forest(c: dict, percent: int) -> list[tuple]:
+    """A spanning forest of the likeliest candidate pairs of a node."""
+    i, j, share = candidate_pairs(c, percent)
+    order = np.argsort(-share, kind="stable")
+    tree = Union(len(c["id"]))
+    return [ordered(int(c["id"][a]), int(c["id"][b])) for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True) if tree.join(a, b)]
 
 
-def by_node(rows: DataFrame, work: Callable[[dict[str, np.ndarray]], list[tuple[int, int]]]) -> DataFrame:
-    """Pairs from the rows of every node. Nodes are of bounded size (SMALL, or a block pair); rows
-    come sorted by node, and a batch's last node waits for the next batch."""
-    arrow = to_arrow_schema(PAIR)
+def involved(c: dict, percent: int) -> list[tuple]:
+    """``node, id, label`` of the documents with a candidate in another component. Rows with a
+    ``side`` are candidates across sides only."""
+    if (c["label"] == c["label"][0]).all():
+        return []
+    if "side" in c:
+        p, q = np.flatnonzero(c["side"] == 0), np.flatnonzero(c["side"] == 1)
+        i, j, _ = likely(c["sig"][p], c["n"][p], c["sig"][q], c["n"][q], percent)
+        i, j = p[i], q[j]
+    else:
+        i, j, _ = candidate_pairs(c, percent)
+    across = c["label"][i] != c["label"][j]
+    at = np.unique(np.concatenate([i[across], j[across]]))
+    return [(int(c["node"][k]), int(c["id"][k]), int(c["label"][k])) for k in at]
+
+
+def true_links(c: dict, percent: int) -> list[tuple]:
+    """A spanning forest of the links across components of a node, compared on the full sets."""
+    sets, ids = c["set"], c["id"]
+    tree, known = Union(len(ids)), {}
+    for i, label in enumerate(c["label"].tolist()):
+        tree.join(known.setdefault(label, i), i)
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(x) for x in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    out = []
+    for i in range(len(ids) - 1):
+        mark = np.zeros(len(values), bool)
+        mark[flat[starts[i] : starts[i] + sizes[i]]] = True
+        common = np.add.reduceat(mark[flat[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1], dtype=np.int64)
+        linked = 100 * common >= percent * (sizes[i] + sizes[i + 1 :] - common)
+        out += [ordered(int(ids[i]), int(ids[j])) for j in (np.flatnonzero(linked) + i + 1).tolist() if tree.join(i, j)]
+    return out
+
+
+def by_node(rows: DataFrame, work: Callable[[dict], list[tuple]], names: tuple[str, ...] = ("a", "b")) -> DataFrame:
+    """The distinct results of ``work`` on the rows of every node with several. Nodes are of bounded
+    size (SMALL, or two blocks of half of it); rows come sorted by node, and a batch's last node
+    waits for the next batch."""
+    schema = T.StructType([T.StructField(x, T.LongType()) for x in names])
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -182,23 +217,26 @@ def by_node(rows: DataFrame, work: Callable[[dict[str, np.ndarray]], list[tuple[
             node = table.column("node").to_numpy()
             cut = int(np.flatnonzero(node != node[-1])[-1]) + 1 if len(node) and node[0] != node[-1] else 0
             if cut:
-                yield pairs(table.slice(0, cut))
+                yield results(table.slice(0, cut))
             rest = table.slice(cut)
         if rest is not None and rest.num_rows:
-            yield pairs(rest)
-
-    def pairs(table: pa.Table) -> pa.RecordBatch:
-        columns = {c: table.column(c).to_numpy() for c in table.column_names if c != "sig"}
-        columns["sig"] = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
+            yield results(rest)
+
+    def results(table: pa.Table) -> pa.RecordBatch:
+        columns: dict = {c: table.column(c).to_numpy() for c in table.column_names if c not in ("sig", "set")}
+        if "sig" in table.column_names:
+            columns["sig"] = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
+        if "set" in table.column_names:
+            columns["set"] = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
         starts = np.concatenate([[0], np.flatnonzero(np.diff(columns["node"])) + 1, [table.num_rows]])
-        out: set[tuple[int, int]] = set()
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
+        out: set[tuple] = set()
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             if b - a > 1:
                 out.update(work({c: v[a:b] for c, v in columns.items()}))
-        a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=arrow)
+        found = list(zip(*out, strict=True)) if out else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], schema=arrow)
 
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, PAIR)
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -272,9 +310,9 @@ class NearJoin:
         best = shares.groupBy("node", "id").agg(F.max_by("pivot", F.struct("share", "pivot")).alias("pivot"))
         return best.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
 
-    def block_pairs(self, dense: DataFrame) -> DataFrame:
-        """Candidates across components of dense nodes (``node, id, label``): what is not in a
-        node's largest component meets the whole node, in pairs of blocks of bounded size."""
+    def cells(self, dense: DataFrame) -> DataFrame:
+        """Dense nodes (``node, id, label``) cut into cells of bounded size: what is not in a node's
+        largest component meets the whole node, in pairs of blocks."""
         counts = materialize(dense.groupBy("node", "label").count(), "near-dense")
         main = counts.groupBy("node").agg(F.max_by("label", "count").alias("main"), F.sum("count").alias("all"), F.max("count").alias("most")).where("`all` > most")
         rows = self.with_sets(dense.join(self.near(materialize(main, "near-main")), "node"))
@@ -285,17 +323,21 @@ class NearJoin:
         left = rows.where(outside).withColumns({"i": F.pmod(spot, few.cast("bigint")), "j": F.explode(F.sequence(F.lit(0), wide - 1))})
         right = rows.withColumns({"i": F.explode(F.sequence(F.lit(0), few - 1)), "j": F.pmod(spot, wide.cast("bigint"))})
         cell = F.xxhash64("node", F.col("i").cast("bigint"), F.col("j").cast("bigint")).alias("node")
-        cells = left.select(cell, "id", "n", "sig", "label", F.lit(0).alias("side")).union(right.select(cell, "id", "n", "sig", "label", F.lit(1).alias("side")))
-        percent = self.percent
+        return left.select(cell, "id", "n", "sig", "label", F.lit(0).alias("side")).union(right.select(cell, "id", "n", "sig", "label", F.lit(1).alias("side")))
+
+    def links_across(self, rows: DataFrame) -> DataFrame:
+        """True links across components among the rows (``node, id, n, sig, label``) of nodes or cells."""
+        percent, k = self.percent, self.k
+        found = materialize(by_node(rows, lambda c: involved(c, percent), ("node", "id", "label")), "near-involved")
+        ids = materialize(found.select(F.col("id").alias("doc_id")).distinct(), "near-across")
+        texts = self.docs.join(self.near(ids), "doc_id").dropDuplicates()
 
-        def work(c: dict[str, np.ndarray]) -> list[tuple[int, int]]:
-            p, q = np.flatnonzero(c["side"] == 0), np.flatnonzero(c["side"] == 1)
-            i, j, _ = likely(c["sig"][p], c["n"][p], c["sig"][q], c["n"][q], percent)
-            i, j = p[i], q[j]
-            keep = c["label"][i] != c["label"][j]
-            return [(min(x, y), max(x, y)) for x, y in zip(c["id"][i[keep]].tolist(), c["id"][j[keep]].tolist(), strict=True)]
+        def make():
+            cached = TwoGenerations(word_hash)
+            return lambda rows: [(i, shingle_hashes(tokens(t), k, cached.__getitem__).tobytes()) for i, t in rows]
 
-        return by_node(cells, work)
+        sets = materialize(map_rows(texts, make, [("id", "bigint"), ("set", "binary")]), "near-full")
+        return by_node(found.join(sets.where(F.length("set") > 0), "id"), lambda c: true_links(c, percent))
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """``a, b, linked``: whether the full sets of shingles are similar enough."""
@@ -329,23 +371,15 @@ class NearJoin:
         """``id, label`` of all representatives that are linked with another one."""
         small, dense = self.nodes()
         percent = self.percent
-
-        def forest(c):
-            return compare_node(c["id"], c["n"], c["sig"], None, percent)
-
-        def across(c):
-            return compare_node(c["id"], c["n"], c["sig"], c["label"], percent)
-
-        checked = self.confirm(by_node(self.with_sets(small), forest).union(self.pivot_pairs(dense)))
-        labels = components(checked.where("linked"))
+        first = by_node(self.with_sets(small), lambda c: forest(c, percent))
+        linked = self.confirm(first.union(self.pivot_pairs(dense))).where("linked")
+        labels = components(linked)
         named = F.coalesce("label", F.col("id"))
-        small_named, dense_named = (x.join(labels, "id", "left").withColumn("label", named) for x in (small, dense))
-        mixed_nodes = small_named.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("node")
-        again = by_node(self.with_sets(small_named.join(mixed_nodes, "node")), across).union(self.block_pairs(dense_named))
-        again = materialize(again.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "near-again")
-        if again.isEmpty():
-            return labels
-        return components(checked.where("linked").union(self.confirm(again).where("linked")))
+        small, dense = (x.join(labels, "id", "left").select("node", "id", named.alias("label")) for x in (small, dense))
+        open_nodes = small.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("node")
+        again = self.links_across(self.with_sets(small.join(open_nodes, "node"))).union(self.links_across(self.cells(dense)))
+        again = self.confirm(again).where("linked")
+        return labels if again.isEmpty() else components(linked.union(again))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 3, branch: int = 3, seed: int = 41) -> DataFrame:
