@@ -118,8 +118,8 @@ class Profiles:
 def training_rows(docs: DataFrame, per_language: int = 600, most_languages: int = 512, seed: int = 11) -> list[tuple[str, str]]:
     """A bounded sample of rows to learn from: about ``per_language`` whole texts for each of the
     ``most_languages`` most frequent values of ``lang``, chosen by a hash of the id. Rows that
-    are held out, and rows without lang or text, are never among them."""
-    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    are held out, and rows without id, lang or text, are never among them."""
+    rows = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     if not counts:
         return []
