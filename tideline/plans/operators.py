@@ -481,9 +481,11 @@ for _name, _made in FORECASTS.items():
     ORACLE_SQL[f"forecast_{_name}"] = f"WITH s AS ({SERIES}), d AS (SELECT *, (v - coalesce(lag(v) OVER (PARTITION BY event_type ORDER BY t), 0)) / (t - coalesce(lag(t) OVER (PARTITION BY event_type ORDER BY t), 0)) AS step FROM s) SELECT event_type, t, round({_made}, 8) AS forecast FROM d"
 
 
-@query()
+@query(f"""WITH s AS ({SERIES}), o AS (SELECT event_type, min(t) AS t0 FROM s GROUP BY event_type)
+    SELECT s.event_type, s.t, s.v, round(sum(pow(0.5, (s.t - p.t) / t0) * p.v) / sum(pow(0.5, (s.t - p.t) / t0)), 6) AS forecast
+    FROM s JOIN s p ON s.event_type = p.event_type AND p.t <= s.t JOIN o ON o.event_type = s.event_type GROUP BY s.event_type, s.t, s.v""")
 def forecast_ses(spark, sf_dir):
-    return recursive_forecast(_series(spark, sf_dir), ["event_type"], 31.0, "ses")
+    return recursive_forecast(_series(spark, sf_dir), ["event_type"], 31.0, "ses").withColumn("forecast", F.round("forecast", 6))
 
 
 @query()
