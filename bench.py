@@ -8,13 +8,15 @@ import re
 import time
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from tideline.functions.growth import growth_fit
-from tideline.functions.scaling import scale
+from tideline.functions.metrics import accuracy, coverage
+from tideline.functions.scaling import half_width, scale
 from tideline.operators.epochs import progress
 from tideline.operators.progressive import snapshots
 from tideline.plans import progressive, registry
-from tideline.sources.tables import mentioned, register
+from tideline.sources.tables import load, mentioned, register
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -41,6 +43,30 @@ def first_estimate(spark: SparkSession, name: str) -> float:
     return timed(work)
 
 
+def errors(spark: SparkSession, name: str) -> dict:
+    """Error and recall of every estimate against the exact end, and the share of the scan after
+    which the error stays below one percent."""
+    rows = sorted(accuracy(progressive.QUERIES[name](spark, SF_DIR), progressive.PLANS[name].keys).collect(), key=lambda r: r.epoch)
+    good = next((i for i in range(len(rows)) if all((r.mape or 0) < 1 for r in rows[i:])), None)
+    return {"mape": [round(r.mape or 0, 3) for r in rows], "recall": [round(r.recall, 2) for r in rows], "epochs_to_1_percent": None if good is None else good + 1}
+
+
+def covered(spark: SparkSession, runs: int = 20) -> list[float]:
+    """Share of seeded orders of the chunks whose interval holds the exact sum, from the third epoch."""
+    lines = load(spark, SF_DIR, "lineitem", ["l_orderkey", "l_quantity"])
+    many = spark.range(runs).select(F.col("id").cast("int").alias("run"))
+    rows = lines.crossJoin(F.broadcast(many)).withColumn("epoch", F.pmod(F.xxhash64("l_orderkey", "run"), F.lit(progressive.P)).cast("int"))
+    snaps = snapshots(rows, ["run"], ["l_quantity"], progressive.P, variance=True)
+    fits = None
+    for run in range(runs):
+        own = rows.where(F.col("run") == run)
+        fit = growth_fit(snaps.where(F.col("run") == run), progress(own, progressive.P))
+        out = scale(snaps.where(F.col("run") == run), fit, ["l_quantity"], variance=True).select("epoch", "l_quantity_sum", half_width(F.col("l_quantity_sum_var")).alias("half"))
+        fits = out if fits is None else fits.unionByName(out)
+    truth = lines.agg(F.sum("l_quantity").alias("l_quantity_sum"))
+    return [round(r.covered, 3) for r in coverage(fits.where("epoch >= 2"), [], "l_quantity_sum", "half", truth).orderBy("epoch").collect()]
+
+
 def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]").appName("bench").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
@@ -50,8 +76,9 @@ def main() -> None:
     registry.QUERIES["tpch_q1"](spark, SF_DIR).collect()  # starts the JVM's machinery, as a long-lived session has
     seconds = {n: timed(lambda n=n: registry.QUERIES[n](spark, SF_DIR).collect()) for n in [*EXACT, *PROGRESSIVE]}
     first = {n: first_estimate(spark, n) for n in ("prog_q1", "prog_q5", "prog_q6", "prog_q8", "prog_q14")}
+    quality = {n: errors(spark, n) for n in first}
     sf = re.search(r"sf([\d.]+)", SF_DIR)
-    print(json.dumps({"metric": "total seconds of all headline queries", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "first_estimate": first, "sf": float(sf[1]) if sf else None, "cpus": int(CPUS)}))
+    print(json.dumps({"metric": "total seconds of all headline queries", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "first_estimate": first, "accuracy": quality, "ci_coverage": covered(spark, 5), "sf": float(sf[1]) if sf else None, "cpus": int(CPUS)}))
 
 
 if __name__ == "__main__":
