@@ -273,7 +273,8 @@ class NearJoin:
         at = self.reps.select("id", F.posexplode("roots").alias("place", "token")).select(F.xxhash64("place", "token").alias("node"), "id", F.lit(1 << 62).alias("parent"))
         small, dense, level = [], [], 0
         while True:
-            sizes = at.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.max("parent").alias("parent")).where("size > 1")
+            # a table of its own, so that the join deals both sides anew and a hot node's rows can be split
+            sizes = materialize(at.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.max("parent").alias("parent")).where("size > 1"), f"near-sizes{level}")
             grown = materialize(at.select("node", "id").join(sizes, "node"), f"near-nodes{level}")
             stuck = (F.col("size") > SMALL) & ((F.col("size") >= DENSE * F.col("parent")) | F.lit(level >= DEPTH))
             small.append(grown.where(F.col("size") <= SMALL).select("node", "id"))
