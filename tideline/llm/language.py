@@ -115,18 +115,19 @@ class Profiles:
         return self.languages[best], float(min(1.0, max(0.0, cosines[best])))
 
 
-def training_rows(docs: DataFrame, per_language: int = 600, most_languages: int = 512, seed: int = 11) -> list[tuple[str, str]]:
-    """A bounded sample of rows to learn from: about ``per_language`` whole texts for each of the
-    ``most_languages`` most frequent values of ``lang``, chosen by a hash of the id. Rows that
+def training_rows(docs: DataFrame, per_language: int = 600, most_languages: int = 512, most_rows: int = 20_000, seed: int = 11) -> list[tuple[str, str]]:
+    """A bounded sample of rows to learn from: about ``per_language`` whole texts (fewer if there are
+    so many languages that these were over ``most_rows``) for each of the ``most_languages`` most
+    frequent values of ``lang``, chosen by a hash of the id. Rows that
     are held out, and rows without id, lang or text, are never among them."""
     rows = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     if not counts:
         return []
     wide = 1 << 30
-    share = F.lit(0)
-    for lang, n in counts:
-        share = F.when(F.col("lang") == lang, int(min(1.0, per_language / n) * wide)).otherwise(share)
+    each = max(1, min(per_language, most_rows // len(counts)))
+    shares = [F.lit(x) for lang, n in counts for x in (lang, int(min(1.0, each / n) * wide))]
+    share = F.coalesce(F.try_element_at(F.create_map(*shares), F.col("lang")), F.lit(0))
     chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(wide)) < share)
     return sorted((r.text, r.lang) for r in chosen.select("text", "lang").collect())
 
