@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -39,12 +40,24 @@ class Subwords:
     def parts(self, word: str) -> list[int]:
         """Buckets of the word's n-grams, with marks at both ends, and of the word itself."""
         w, mask, crc = f"<{word}>", self.buckets - 1, zlib.crc32
-        grams = [crc(w[i : i + n].encode("utf-8", "replace")) & mask for n in range(SHORTEST, LONGEST + 1) for i in range(len(w) - n + 1)]
+        size = len(w)
+        if w.isascii():  # characters are bytes
+            w = w.encode()
+            grams = [crc(w[i : i + n]) & mask for n in range(SHORTEST, LONGEST + 1) for i in range(size - n + 1)]
+            return grams or [crc(w) & mask]
+        grams = [crc(w[i : i + n].encode("utf-8", "replace")) & mask for n in range(SHORTEST, LONGEST + 1) for i in range(size - n + 1)]
         return grams or [crc(w.encode("utf-8", "replace")) & mask]
 
-    def margin(self, word: str) -> float:
-        """The word's share of the softmax margin (class 1 less class 0)."""
-        return float(self.vectors[self.parts(word)].mean(0) @ (self.weights[:, 1] - self.weights[:, 0]))
+    def margins(self) -> Callable[[str], float]:
+        """A function that gives a word's share of the softmax margin (class 1 less class 0). The
+        softmax is linear, so every n-gram's vector is taken through it once, beforehand."""
+        share, parts = (self.vectors @ (self.weights[:, 1] - self.weights[:, 0])).astype(float).tolist(), self.parts
+
+        def margin(word: str) -> float:
+            found = [share[i] for i in parts(word)]
+            return sum(found) / len(found)
+
+        return margin
 
     def probability(self, margins: list[float]) -> float:
         """Of class 1, from the margins of a document's words: its most toxic window decides."""
@@ -162,7 +175,7 @@ def score_toxicity(docs: DataFrame, model: Subwords, keep: list[str] | None = No
 
     def make():
         m = sent.value
-        cache = TwoGenerations(m.margin)
+        cache = TwoGenerations(m.margins(), half=500_000)
 
         def work(rows):
             return [row[:-1] + (s, int(s >= 0.5)) for row, s in ((row, m.probability([cache[w] for w in words_of(row[-1])])) for row in rows)]
