@@ -53,6 +53,7 @@ def test_pieces_equal_the_library(pieces, text):
     ids = pieces.library.encode(text)
     assert pieces.encode(text) == ids
     assert pieces.decode(ids) == pieces.library.decode(ids)
+    assert all(pieces.join_long(w) == pieces.join_short(w) for w in pieces.marked(text))
 
 
 def test_encode_documents(spark, odd, nothing, pieces):

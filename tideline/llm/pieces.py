@@ -12,6 +12,7 @@ word of an Arrow batch is compared with the sentencepiece library, ids and decod
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from heapq import heapify, heappop, heappush
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from tideline.llm.batches import TwoGenerations, map_rows
 
 MARK = "▁"
+#: Words up to this many characters are joined by ``join_short``.
+SHORT = 48
 
 
 class Pieces:
@@ -41,11 +44,14 @@ class Pieces:
         if model.trainer_spec.model_type != 2 or n.precompiled_charsmap or n.remove_extra_whitespaces or not n.add_dummy_prefix or kinds & {4, 5} or byte not in kinds:
             raise ValueError("only plain BPE vocabularies with byte fallback and the identity normalizer are supported")
         self.text = [p.piece for p in model.pieces]
+        self.spelled = [x.replace(MARK, " ") for x in self.text]
+        self.decimal = [str(i) for i in range(len(self.text))]
         self.score = {p.piece: -p.score for p in model.pieces if p.type == normal}
         self.id = {p.piece: i for i, p in enumerate(model.pieces) if p.type == normal}
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == byte}
         self.byte_of = {i: b for b, i in self.byte.items()}
         self.hidden = {i for i, p in enumerate(model.pieces) if p.type == 3}
+        self.plain = {i for i, p in enumerate(model.pieces) if p.type == normal}
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == 2)
         inside = any(MARK in p.lstrip(MARK) for p in self.score)
         self.words = (lambda s: [s]) if inside else re.compile(f"{MARK}+[^{MARK}]*").findall
@@ -56,40 +62,74 @@ class Pieces:
 
     def join(self, word: str) -> list[str]:
         """The symbols of a word after all joins."""
-        symbols, score = list(word), self.score
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(score[pair], i, pair) for i in range(n - 1) if (pair := symbols[i] + symbols[i + 1]) in score]
+        return self.join_short(word) if len(word) <= SHORT else self.join_long(word)
+
+    def join_short(self, word: str) -> list[str]:
+        """The agenda is a list of the scores of adjacent pairs: for few symbols, finding the first
+        best one is cheaper than keeping a heap."""
+        score, never = self.score.get, float("inf")
+        symbols = list(word)
+        agenda = [score(a + b, never) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while agenda:
+            best = min(agenda)
+            if best == never:
+                break
+            i = agenda.index(best)
+            pair = symbols[i] + symbols.pop(i + 1)
+            symbols[i] = pair
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = score(pair + symbols[i + 1], never)
+            if i:
+                agenda[i - 1] = score(symbols[i - 1] + pair, never)
+        return symbols
+
+    def join_long(self, word: str) -> list[str]:
+        """The agenda is a heap of (score, place, pair); an entry
+        is stale if the symbol at its place no longer begins that pair."""
+        score = self.score.get
+        symbols: list = list(word)
+        after = list(range(1, len(symbols) + 1))
+        before = list(range(-1, len(symbols)))  # one more: the end of the word takes writes too
+        symbols.append("")
+        agenda = []
+        left, seen = 0, symbols[0]
+        for symbol in symbols[1:-1]:
+            pair = seen + symbol
+            if (s := score(pair)) is not None:
+                agenda.append((s, left, pair))
+            left, seen = left + 1, symbol
         heapify(agenda)
         while agenda:
             _, left, pair = heappop(agenda)
             right = after[left]
-            if symbols[left] is None or right >= n or symbols[left] + symbols[right] != pair:
+            if symbols[left] + symbols[right] != pair or not symbols[left] or not symbols[right]:
                 continue  # one of the two was joined elsewhere meanwhile
-            symbols[left], symbols[right] = pair, None
+            symbols[left], symbols[right] = pair, ""
             after[left] = beyond = after[right]
-            if beyond < n:
-                before[beyond] = left
-                if (new := pair + symbols[beyond]) in score:
-                    heappush(agenda, (score[new], left, new))
-            if (back := before[left]) >= 0 and (new := symbols[back] + pair) in score:
-                heappush(agenda, (score[new], back, new))
-        return [s for s in symbols if s is not None]
+            before[beyond] = left
+            if symbols[beyond] and (s := score(new := pair + symbols[beyond])) is not None:
+                heappush(agenda, (s, left, new))
+            back = before[left]
+            if back >= 0 and (s := score(new := symbols[back] + pair)) is not None:
+                heappush(agenda, (s, back, new))
+        return [s for s in symbols if s]
 
     def encode_word(self, word: str) -> list[int]:
-        ids: list[int] = []
-        for symbol in self.join(word):
-            if (known := self.id.get(symbol)) is not None:
-                ids.append(known)
-            else:
-                ids.extend(self.byte[b] for b in symbol.encode("utf-8"))
-        return ids
+        known = self.id
+        symbols = self.join(word)
+        try:
+            return [known[s] for s in symbols]
+        except KeyError:
+            return [i for s in symbols for i in ([known[s]] if s in known else [self.byte[b] for b in s.encode("utf-8")])]
 
     def encode(self, text: str | None) -> list[int]:
         return [i for word in self.marked(text or "") for i in self.encode_word(word)]
 
     def spell(self, ids: list[int]) -> str:
         """Decoded text with its leading space still on."""
+        if self.plain.issuperset(ids):
+            return "".join([self.spelled[i] for i in ids])
         out, pending = [], bytearray()
         for i in ids:
             if (b := self.byte_of.get(i)) is not None:
@@ -112,21 +152,31 @@ class CheckedWords:
 
     def __init__(self, pieces: Pieces):
         self.pieces, self.new = pieces, []
-        self.cache = TwoGenerations(self.compute)
+        self.cache = TwoGenerations(self.compute, half=500_000)
 
     def compute(self, word: str) -> tuple[int, str, str]:
         ids = self.pieces.encode_word(word)
         text = self.pieces.spell(ids)
         self.new.append((word, ids, text))
-        return len(ids), ",".join(map(str, ids)), text
+        decimal = self.pieces.decimal
+        return len(ids), ",".join([decimal[i] for i in ids]), text
 
     def check(self) -> None:
-        """Raises if the library encodes or decodes a new word otherwise."""
-        if self.new:
-            words, ids, texts = zip(*self.new, strict=True)
-            if self.pieces.library.encode([w[1:].replace(MARK, " ") for w in words], num_threads=1) != list(ids) or self.pieces.library.decode(list(ids), num_threads=1) != [t[1:] for t in texts]:
-                raise RuntimeError("the sentencepiece library encodes or decodes a word of this batch differently")
-            self.new.clear()
+        """Raises if the library encodes or decodes a new word otherwise. A word is a text of its own
+        for the library, which adds the mark; a single mark (a space at the end) stands after a letter.
+        Decoding is compared where it is more than joining pieces: with byte pieces."""
+        texts, ids, bytewise, decoded = [], [], [], []
+        for word, own, text in self.new:
+            before = [] if word != MARK else self.pieces.encode_word(f"{MARK}a")
+            texts.append((f"a{word}" if before else word[1:]).replace(MARK, " "))
+            ids.append(before + own)
+            if not self.pieces.plain.issuperset(own):
+                bytewise.append(ids[-1])
+                decoded.append(f"a{text}" if before else text[1:])
+        library = self.pieces.library
+        if texts and (library.encode(texts, num_threads=1) != ids or bytewise and library.decode(bytewise, num_threads=1) != decoded):
+            raise RuntimeError("the sentencepiece library encodes or decodes a word of this batch differently")
+        self.new.clear()
 
 
 def encode_documents(docs: DataFrame, model: str, keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
@@ -137,12 +187,13 @@ def encode_documents(docs: DataFrame, model: str, keep: list[str] | None = None,
     empty texts have no tokens and decode to an empty text. Repeated rows stay repeated; other
     columns of ``docs``, whatever their names, are left out unless listed in ``keep``. ``model`` is
     a path that every executor can read. Narrow: one pass, no shuffle; memory is one batch, its
-    longest text and a cache of at most 300,000 words.
+    longest text and a cache of at most 1,000,000 words (about 400 MB).
     """
     keep = ["doc_id"] if keep is None else keep
     types = dict(docs.dtypes)
 
     def make():
+        gc.set_threshold(500_000)  # the cache is many small objects without cycles; walking them often costs a quarter of the time
         pieces = Pieces(model)
         words = CheckedWords(pieces)
         cache, sha = words.cache, hashlib.sha256
