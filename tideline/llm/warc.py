@@ -30,6 +30,8 @@ from tideline.storage import fresh_path, materialize
 
 #: An archive is closed at this many bytes of payload or records.
 MOST_BYTES, MOST_RECORDS = 32 << 20, 20_000
+#: Tasks that normalise and read archives, each one archive or more.
+MOST_TASKS = 20_000
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -177,10 +179,12 @@ def classify(written: DataFrame) -> DataFrame:
     return both.select("archive", "place", "payload_bytes", first.alias("is_response"), F.when(~first, F.coalesce(F.col("top.page_id").cast("string"), F.lit(""))).alias("refers_to"))
 
 
-def normalize_archives(judged: DataFrame, source: str, target: str) -> DataFrame:
+def normalize_archives(judged: DataFrame, source: str, target: str, tasks: int) -> DataFrame:
     """Normalise every archive of ``judged`` (``classify``) from folder ``source`` to ``target``,
     with revisit records where it says so, and a sidecar index beside each. One group is one
-    archive, of bounded size. Returns ``archive``, ``index`` and ``records``."""
+    archive, of bounded size. Its rows are few bytes and stand for megabytes, so the number of
+    tasks is set here and not left to the size of the shuffle. Returns ``archive``, ``index`` and
+    ``records``."""
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
         (store, base), (put, there) = open_store(source), open_store(target)
@@ -200,7 +204,7 @@ def normalize_archives(judged: DataFrame, source: str, target: str) -> DataFrame
             out.write("".join(json.dumps(x) + "\n" for x in index).encode())
         return pd.DataFrame({"archive": [path], "index": [f"{path}.idx"], "records": [len(index)]})
 
-    return judged.groupBy("archive").applyInPandas(work, "archive string, index string, records long")
+    return judged.repartition(tasks, "archive").groupBy("archive").applyInPandas(work, "archive string, index string, records long")
 
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
@@ -246,5 +250,6 @@ def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     folder = folder or fresh_path(spark, "warc")
     written = materialize(write_archives(pages, f"{folder}/raw"), "warc-written")
-    done = materialize(normalize_archives(classify(written), f"{folder}/raw", f"{folder}/members"), "warc-done")
-    return read_archives(done, f"{folder}/members")
+    tasks = max(1, min(written.select("archive").distinct().count(), MOST_TASKS))
+    done = materialize(normalize_archives(classify(written), f"{folder}/raw", f"{folder}/members", tasks), "warc-done")
+    return read_archives(done.repartition(tasks), f"{folder}/members")
