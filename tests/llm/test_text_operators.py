@@ -200,6 +200,19 @@ def test_quality_rejects_outliers_only(spark):
     assert out.kept[out.index < 1000].all() and not out.kept[out.index >= 1000].any() and not out.base_failed.any()
 
 
+def test_quality_rejects_moderate_outliers(spark):
+    """A symbol every second or fourth word; long texts and a rare symbol or repeated line stay."""
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(2000)]
+    text = lambda n, every=0: " ".join(w + " |" * bool(every and i % every == 0) for i, w in enumerate(rng.choice(words, n)))
+    rows = [(i, text(int(np.exp(rng.normal(5.6, 0.8))) + 60), "en", "s") for i in range(400)]
+    rows += [(500 + i, text(300, 60) + "\nonce more\nonce more", "en", "s") for i in range(5)] + [(600, text(6000), "en", "s")]
+    rows += [(1000 + i, text(120 + 40 * i, 2 + 2 * (i % 2)), "en", "s") for i in range(10)]
+    out = robust_outliers(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas().set_index("doc_id")
+    assert not out.base_failed.any() and not out.kept[out.index >= 1000].any()
+    assert out.kept[(out.index >= 500) & (out.index < 1000)].all() and out.kept[out.index < 500].mean() > 0.98
+
+
 def test_quality_estimate_against_numpy(spark):
     """The concentration steps of one group, redone in numpy."""
     from pyspark.sql import functions as F

@@ -22,12 +22,14 @@ SYMBOLS = "#*$%&|<>"
 BASE = ["word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Names of the transformed statistics.
 VECTOR = ["z_words", "z_length", "z_symbols", "z_lines", "z_repeats"]
-#: Added to the variances (MCD of statistics that are mostly equal would be singular).
-FLOORS = (0.05, 0.005, 0.02, 0.1, 0.02)
-#: Squared distance, scaled so that its median is that of chi-square with 5 degrees of freedom,
-#: beyond which a document is an outlier. Texts' statistics have long tails: this is far out.
-CUTOFF = 160.0
-CHI2_MEDIAN = 4.351
+#: Added to the variances. Symbols, repeated lines and repeated words are 0 in most texts, so the
+#: nearer half has no scatter of its own there and the floor is the scale: for symbols the noise of
+#: a count in 50 words, 1/4 / 50; lines and repeated words come in larger steps.
+FLOORS = (0.005, 0.005, 0.005, 0.1, 0.02)
+#: Two statistics vary in the nearer half: squared distances are scaled to the median of chi-square
+#: with 2 degrees of freedom. The cutoff is its quantile at 1 - 1e-6, 27.6: texts have long tails.
+CHI2_MEDIAN = 2 * math.log(2)
+CUTOFF = -2 * math.log(1e-6)
 
 
 def statistics(text: str | None) -> tuple[int, int, int, int, int]:
@@ -78,7 +80,7 @@ def base_failed() -> Column:
 def transformed() -> list[Column]:
     words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     return [
-        F.log1p(F.col("n_words").cast("double")).alias("z_words"),
+        F.log1p(F.log1p(F.col("n_words").cast("double"))).alias("z_words"),  # long texts are no outliers
         F.log(F.greatest(F.col("word_chars"), F.lit(1)) / words).alias("z_length"),
         F.sqrt(F.col("n_symbols") / words).alias("z_symbols"),
         F.log1p(F.col("n_dup_lines").cast("double")).alias("z_lines"),
@@ -164,6 +166,5 @@ def _names(p: int) -> list[str]:
 
 
 def chi_square_tail(cutoff: float) -> float:
-    """Share of a 5-dimensional normal law beyond the cutoff, for documentation and tests."""
-    x = math.sqrt(cutoff)
-    return math.erfc(x / math.sqrt(2)) + math.sqrt(2 / math.pi) * math.exp(-cutoff / 2) * (x + x**3 / 3)
+    """Share of a 2-dimensional normal law beyond the cutoff, for documentation and tests."""
+    return math.exp(-cutoff / 2)
