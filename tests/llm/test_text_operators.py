@@ -213,6 +213,17 @@ def test_quality_rejects_moderate_outliers(spark):
     assert out.kept[(out.index >= 500) & (out.index < 1000)].all() and out.kept[out.index < 500].mean() > 0.98
 
 
+def test_quality_judges_what_is_left_over(spark):
+    """A rare language beside a large group, judged by all rows that pass."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(2000)]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(60, 300))), "en" if i < 60 else "xx", "s") for i in range(70)]
+    rows += [(1000 + i, " ".join(w + "%%%" for w in rng.choice(words, 100)), "xx", "s") for i in range(3)]
+    out = robust_outliers(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), min_rows=50).toPandas().set_index("doc_id")
+    assert len(out) == 73 and out.distance.notna().all()
+    assert out.kept[out.index < 1000].all() and not out.kept[out.index >= 1000].any()
+
+
 def test_quality_estimate_against_numpy(spark):
     """The concentration steps of one group, redone in numpy."""
     from pyspark.sql import functions as F

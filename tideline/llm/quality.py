@@ -30,6 +30,10 @@ FLOORS = (0.005, 0.005, 0.005, 0.1, 0.02)
 #: with 2 degrees of freedom. The cutoff is its quantile at 1 - 1e-6, 27.6: texts have long tails.
 CHI2_MEDIAN = 2 * math.log(2)
 CUTOFF = -2 * math.log(1e-6)
+#: Rows that an estimate needs: their half must be more than the statistics.
+LEAST = 2 * (len(VECTOR) + 1)
+#: The fit of rows that are too few by language and source and by language.
+REST = "\x03"
 
 
 def statistics(text: str | None) -> tuple[int, int, int, int, int]:
@@ -126,8 +130,9 @@ def robust_outliers(docs: DataFrame, min_rows: int = 200, steps: int = 4, cutoff
     ``n_repeat_words``, ``base_failed``, ``kept`` and ``distance`` (null where there is no
     estimate). A row is fitted with its language and source if these have at least ``min_rows``
     rows that pass the base rules, else with all such rows of its language, else with all rows
-    left over, and without an estimate it is kept. Null lang or source is a value of its own.
-    Null and empty texts have no words and fail the base rules. Repeated rows count as often as
+    left over; if these are too few, they are judged by an estimate over all rows that pass. Only
+    where fewer than LEAST rows pass at all there is no estimate, and rows that pass are kept.
+    Null lang or source is a value of its own. Null and empty texts have no words and fail the base rules. Repeated rows count as often as
     they occur. Other columns are ignored. The fits are broadcast below ``groups_in_memory``
     groups (their number is counted first), and joined by shuffle beyond that.
     """
@@ -138,13 +143,16 @@ def robust_outliers(docs: DataFrame, min_rows: int = 200, steps: int = 4, cutoff
     good = stats.where(~F.col("base_failed"))
     sizes = materialize(good.groupBy("both", "only").count().withColumn("own", F.col("count") >= min_rows), "quality-sizes")
     rest = sizes.where("not own").groupBy("only").agg(F.sum("count").alias("left"))
-    names = sizes.join(rest, "only", "left").select("both", F.when(F.col("own"), F.col("both")).when(F.col("left") >= min_rows, F.col("only")).otherwise(F.lit("\x03")).alias("fit"))
+    names = sizes.join(rest, "only", "left").select("both", F.when(F.col("own"), F.col("both")).when(F.col("left") >= min_rows, F.col("only")).otherwise(F.lit(REST)).alias("fit"))
     names = materialize(names, "quality-names")
     small = names.count() <= groups_in_memory
+    left = sizes.join(names.where(F.col("fit") == REST), "both").agg(F.sum("count")).first()[0] or 0
     near = F.broadcast if small else (lambda x: x)
     # rows whose group has no row that passes have no fit of their own: they are not judged by distance
     rows = materialize(stats.join(near(names), "both", "left").drop("both", "only", "lang", "source"), "quality-rows")
     good = rows.where(~F.col("base_failed"))
+    if 0 < left < min_rows:  # too few for an estimate of their own: all rows make theirs
+        good = good.where(F.col("fit") != REST).unionByName(good.withColumn("fit", F.lit(REST)))
     fit = _inverse(good.groupBy("fit").agg(*_sums(p)).select("fit", "n", *_names(p)), True)
     fit = materialize(fit, "quality-fit")
     for step in range(steps):
@@ -156,7 +164,7 @@ def robust_outliers(docs: DataFrame, min_rows: int = 200, steps: int = 4, cutoff
     measured = good.join(near(fit), "fit").withColumn("distance", _distance(p))
     middle = materialize(measured.groupBy("fit").agg(F.percentile_approx("distance", 0.5, 2000).alias("middle"), F.count(F.lit(1)).alias("fitted")), "quality-scale")
     scale = F.greatest(F.col("middle"), F.lit(0.05)) / CHI2_MEDIAN
-    judged = rows.join(near(fit), "fit", "left").join(near(middle), "fit", "left").withColumn("distance", F.when(F.col("fitted") >= min_rows, _distance(p) / scale))
+    judged = rows.join(near(fit), "fit", "left").join(near(middle), "fit", "left").withColumn("distance", F.when(F.col("fitted") >= LEAST, _distance(p) / scale))
     kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= cutoff))
     return judged.select("doc_id", "n_words", *BASE, "base_failed", kept.alias("kept"), "distance")
 
