@@ -23,8 +23,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = identify_language(docs.select(*COLUMNS), learn_profiles(docs), keep=["doc_id", "text", "source", "n_chars"])
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0)).withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
+    profiles = learn_profiles(docs)
+    found = identify_language(docs.select(*COLUMNS), profiles, keep=["doc_id", "text", "source", "n_chars"])
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > profiles.margin)).withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

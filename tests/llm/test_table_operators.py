@@ -307,3 +307,15 @@ def test_pipeline_stages(spark, tmp_path):
             before_words, words = (sum(len((r.text or "").split()) for r in d.collect()) for d in (before, docs))
             assert abs(words - before_words) < 0.1 * before_words
     assert seen[-1].count() == seen[-2].count()
+
+
+def test_pipeline_drops_unlearned_scripts(spark):
+    rng = np.random.default_rng(4)
+    scripts = [(0x430, 0x44F), (0x3B1, 0x3C9), (0x4E00, 0x9000), (0x627, 0x64A)]
+    word = lambda a, b: "".join(map(chr, rng.integers(a, b, rng.integers(2, 9))))
+    strange = [(1_000_000 + i, " ".join(word(*scripts[i % 4]) for _ in range(40)), None, "src0", 1) for i in range(200)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = corpus_pipeline.language(spark, docs.unionByName(spark.createDataFrame(strange, DOCS)), SF).select("doc_id").collect()
+    kept = [r.doc_id for r in out]
+    assert sum(i >= 1_000_000 for i in kept) < 10
+    assert sum(i < 1_000_000 for i in kept) >= docs.count() - 3
