@@ -122,6 +122,20 @@ def test_tensors_have_a_fixed_shape_and_spans(spark, odd):
     assert rows.groupby("doc_id").part.apply(lambda p: sorted(set(p)) == list(range(max(p) + 1))).all()
 
 
+def test_media_and_tensors_are_stored_and_read_back(spark, odd, monkeypatch):
+    stored = {}
+    keep = media.materialize
+    monkeypatch.setattr(media, "materialize", lambda df, name, *a: stored.setdefault(name, keep(df, name, *a)))
+    out = {r.media_sha256: r.feature for r in media.media_digests(odd).collect()}
+    files, tensors = stored["media-wav"].collect(), stored["media-tensors"].collect()
+    assert len(files) == len(tensors) == 2 * len(ODD) and {hashlib.sha256(r.media).hexdigest() for r in files} == set(out)
+    for r in tensors:
+        kind = pa.ipc.open_stream(r.tensors).schema.field("tensor").type
+        assert kind == pa.fixed_shape_tensor(pa.float32(), [media.FRAMES, media.MELS])
+        values, times = media.unpack_tensors(r.tensors)
+        assert len(values) == len(times) and all(a < b for a, b in times) and media.feature_text(r.segments, r.tensors) == out[r.media_sha256]
+
+
 # --- language
 
 

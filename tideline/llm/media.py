@@ -17,9 +17,9 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tideline.llm.batches import map_rows
+from tideline.storage import materialize
 
 #: Input and feature rates, the FFT's length, the step between frames, filters, frames a tensor.
 RATE, UP, DOWN = 8000, 3, 8
@@ -175,29 +175,70 @@ def tensor_table(table: pa.Table) -> pa.Table:
     return table.set_column(at, pa.field("tensor", kind), column)
 
 
-def digest(n_bytes: int, media: bytes) -> tuple:
-    """What the stored bytes hold, read back, and a digest of their features."""
-    payload = decode_wav(media)
-    tensors, spans, _ = features(payload)
+TENSOR = pa.fixed_shape_tensor(pa.float32(), [FRAMES, MELS])
+PARTS = pa.schema([("part", pa.int32()), ("from_s", pa.float64()), ("to_s", pa.float64()), ("tensor", TENSOR)])
+
+
+def pack_tensors(tensors: np.ndarray, times: list[tuple[float, float]]) -> bytes:
+    """One recording's tensors and their spans as an Arrow stream with a fixed-shape tensor column."""
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(tensors.ravel(), pa.float32()), FRAMES * MELS)
+    start, end = zip(*times, strict=True)
+    columns = [pa.array(range(len(times)), pa.int32()), pa.array(start, pa.float64()), pa.array(end, pa.float64()), pa.ExtensionArray.from_storage(TENSOR, flat)]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, PARTS) as out:
+        out.write_batch(pa.RecordBatch.from_arrays(columns, schema=PARTS))
+    return sink.getvalue().to_pybytes()
+
+
+def unpack_tensors(packed: bytes) -> tuple[np.ndarray, list[tuple[float, float]]]:
+    """What ``pack_tensors`` stored."""
+    table = pa.ipc.open_stream(packed).read_all()
+    if table.schema.field("tensor").type != TENSOR:
+        raise ValueError("not a column of fixed-shape tensors")
+    return table.column("tensor").combine_chunks().to_numpy_ndarray(), list(zip(table.column("from_s").to_pylist(), table.column("to_s").to_pylist(), strict=True))
+
+
+DIGESTS = [("n_bytes", "bigint"), ("payload_bytes", "bigint"), ("payload_sha256", "string"), ("tail_crc32", "bigint"), ("media_bytes", "bigint"), ("media_sha256", "string")]
+
+
+def stored_tensors(media: DataFrame) -> DataFrame:
+    """Per row of ``doc_id, n_bytes, media``: ``doc_id``, the digests of the WAVE file and its payload,
+    ``segments`` (active frame spans) and ``tensors``, an Arrow stream of the row's fixed-shape
+    tensors with their time spans."""
+
+    def make():
+        def work(rows):
+            out = []
+            for i, n, m in rows:
+                payload = decode_wav(m)
+                tensors, spans, times = features(payload)
+                out.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), [list(x) for x in spans], pack_tensors(tensors, times)))
+            return out
+
+        return work
+
+    fields = [("doc_id", dict(media.dtypes)["doc_id"]), *DIGESTS, ("segments", "array<array<int>>"), ("tensors", "binary")]
+    return map_rows(media.select("doc_id", "n_bytes", "media"), make, fields)
+
+
+def feature_text(segments: list[list[int]], packed: bytes) -> str:
+    """A summary of a row's stored tensors, their time spans and its segments."""
+    tensors, times = unpack_tensors(packed)
     made = hashlib.sha256(np.round(tensors, 2).astype("<f4").tobytes())
-    made.update(repr(spans).encode())
-    text = f"{len(tensors)}x{FRAMES}x{MELS};segments={len(spans)};mean={float(tensors.mean()):.3f};{made.hexdigest()[:32]}"
-    return (n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), text)
+    made.update(repr((times, [tuple(x) for x in segments])).encode())
+    return f"{len(tensors)}x{FRAMES}x{MELS};seconds={times[-1][1]:.3f};segments={len(segments)};mean={float(tensors.mean()):.3f};{made.hexdigest()[:32]}"
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_bytes`` (unpadded), and of the stored WAVE file, read
     back, ``payload_bytes``, ``payload_sha256``, ``tail_crc32`` (last 16 bytes), ``media_bytes``,
-    ``media_sha256`` and ``feature``, a summary of all its tensors and segments. Equal texts have
-    equal values; null and empty texts one block of spaces. Encoding and reading back share
-    one pass (``text_media`` and ``audio_features`` are the two halves as columns). No shuffle."""
+    ``media_sha256`` and ``feature``, a summary of its stored tensors, spans and segments. Equal
+    texts have equal values; null and empty texts one block of spaces. The WAVE files are stored
+    in the shared folder and read back, and so are the tensors made from them. No shuffle."""
+    media = materialize(text_media(docs), "media-wav", "zstd")
+    tensors = materialize(stored_tensors(media), "media-tensors", "zstd")
 
     def make():
-        def work(rows):
-            return [(i, *digest(n, encode_wav(p))) for i, (n, p) in ((i, payload_of(t)) for i, t in rows)]
+        return lambda rows: [(*row[:-2], feature_text(*row[-2:])) for row in rows]
 
-        return work
-
-    types = dict(docs.dtypes)
-    fields = [("doc_id", types["doc_id"]), ("n_bytes", "bigint"), ("payload_bytes", "bigint"), ("payload_sha256", "string"), ("tail_crc32", "bigint"), ("media_bytes", "bigint"), ("media_sha256", "string"), ("feature", "string")]
-    return map_rows(docs.select(F.col("doc_id"), F.col("text")), make, fields)
+    return map_rows(tensors, make, [("doc_id", dict(docs.dtypes)["doc_id"]), *DIGESTS, ("feature", "string")])

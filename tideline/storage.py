@@ -37,13 +37,13 @@ def drop_intermediate(spark: SparkSession) -> None:
         drop_path(spark, _MADE.pop())
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a cut in the lineage
     that survives lost executors (unlike a local checkpoint) and is columnar and compressed
     (unlike ``DataFrame.checkpoint``). The schema is passed along, so an empty table works."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
