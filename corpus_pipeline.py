@@ -40,9 +40,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with equal ids are all taken as often as one of them."""
+    """Rows with equal ids, or without one, are all taken as often as one of them."""
     copies = materialize(mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")), "pipeline-mix")
-    taken = docs.select(*COLUMNS).join(copies, "doc_id")
+    copies = copies.withColumnRenamed("doc_id", "id")
+    taken = docs.select(*COLUMNS).join(copies, F.col("doc_id").eqNullSafe(F.col("id")))
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 

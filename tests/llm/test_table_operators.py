@@ -319,3 +319,8 @@ def test_pipeline_drops_unlearned_scripts(spark):
     kept = [r.doc_id for r in out]
     assert sum(i >= 1_000_000 for i in kept) < 10
     assert sum(i < 1_000_000 for i in kept) >= docs.count() - 3
+
+
+def test_mixing_stage_keeps_null_ids(spark):
+    docs = spark.createDataFrame([(i if i else None, f"some clean words of text {i}", "en", "s", 1) for i in range(6)], DOCS)
+    assert sorted(r.doc_id or 0 for r in corpus_pipeline.mixing(spark, docs, SF).collect()) == list(range(6))
