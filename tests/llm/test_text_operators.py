@@ -108,6 +108,16 @@ def test_resampling_keeps_a_tone_and_removes_what_is_too_high():
     assert np.abs(media.resample(high)[100:-100]).max() < 0.2 * np.abs(y).max()
 
 
+@pytest.mark.parametrize("blocks", range(1, 18))
+def test_the_end_of_a_recording_is_in_a_frame(blocks):
+    payload = b"some words " * (blocks * 192 // 11) + b" " * (blocks * 192 % 11)
+    other = payload[:-100] + b"Z" * 100
+    (a, _, times), (b, _, _) = media.features(payload), media.features(other)
+    hop = media.STEP * media.DOWN / media.UP / media.RATE
+    assert times[-1][1] + hop >= len(payload) / media.RATE - 1e-9  # the last frame is two steps long
+    assert not np.array_equal(np.round(a, 2), np.round(b, 2))
+
+
 def test_hysteresis():
     energy = np.array([1, 1, 1, 2, 1, 1, 0.1, 1, 1, 1.0])
     assert media.segments(energy) == [(0, 6)]  # opened at 3, open while above the lower threshold

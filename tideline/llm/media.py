@@ -86,9 +86,9 @@ def filterbank() -> np.ndarray:
 
 
 def log_mel(x: np.ndarray) -> np.ndarray:
-    """frames x MELS; a signal shorter than one frame is padded to one. In blocks of frames."""
-    if len(x) < FFT:
-        x = np.pad(x, (0, FFT - len(x)))
+    """frames x MELS; the signal is padded to whole frames, so that its end is in one. In blocks of
+    frames."""
+    x = np.pad(x, (0, FFT - len(x) if len(x) < FFT else -(len(x) - FFT) % STEP))
     frames = np.lib.stride_tricks.sliding_window_view(x, FFT)[::STEP]
     window = np.hanning(FFT).astype(np.float32)
     out = np.empty((len(frames), MELS), np.float32)
