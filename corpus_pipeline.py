@@ -20,12 +20,15 @@ from tideline.llm.queries import PIECE_MODEL
 from tideline.storage import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Texts of fewer letters are too short to tell noise from a language and are dropped at score 0 only.
+SHORT = 20
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = learn_profiles(docs)
+    letters = F.char_length(F.regexp_replace("text", r"[^\p{L}]+", ""))
     found = identify_language(docs.select(*COLUMNS), profiles, keep=["doc_id", "text", "source", "n_chars"])
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > profiles.margin)).withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
+    return found.where((F.col("lang_pred") != UNKNOWN) & ((F.col("score") > profiles.margin) | ((F.col("score") > 0) & (letters < SHORT)))).withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
