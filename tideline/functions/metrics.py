@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.operators.joins import single_row
+
 
 def final_snapshot(results: DataFrame) -> DataFrame:
     """The last epoch's rows: the exact answer if every inner aggregate is per snapshot."""
@@ -21,7 +23,7 @@ def accuracy(results: DataFrame, keys: list[str], reference: DataFrame | None =
     reference = final_snapshot(results) if reference is None else reference
     values = [c for c in results.columns if c != "epoch" and c not in keys]
     ref = reference.select(*keys, *(F.col(c).alias(f"ref_{c}") for c in values))
-    both = results.join(ref, keys) if keys else results.crossJoin(F.broadcast(ref))
+    both = results.join(ref, keys) if keys else results.crossJoin(F.broadcast(single_row(ref)))
     off = [F.abs(F.col(c) - F.col(f"ref_{c}")) for c in values]
     shares = [F.when(F.col(f"ref_{c}") != 0, o / F.abs(F.col(f"ref_{c}"))) for c, o in zip(values, off, strict=True)]
 
@@ -42,6 +44,6 @@ def coverage(results: DataFrame, keys: list[str], value: str, half: str, truth:
     """Per epoch the share of estimates whose interval ``value +- half`` holds the truth (column
     ``value`` of ``truth``), for one run or many (more rows per epoch and key)."""
     exact = truth.select(*keys, F.col(value).alias("exact"))
-    both = results.join(exact, keys) if keys else results.crossJoin(F.broadcast(exact))
+    both = results.join(exact, keys) if keys else results.crossJoin(F.broadcast(single_row(exact)))
     inside = F.abs(F.col(value) - F.col("exact")) <= F.col(half)
     return both.groupBy("epoch").agg(F.avg(inside.cast("double")).alias("covered"), F.count(F.lit(1)).alias("estimates"))
