@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,9 +70,24 @@ def moment_udf(d: pd.Series, n: pd.Series, total: pd.Series) -> pd.Series:
     return pd.Series([moment_estimate(*x) for x in zip(d.astype(float), n.astype(float), total.astype(float), strict=True)], dtype=float)
 
 
-@F.pandas_udf(T.DoubleType())
-def horvitz_udf(n_j: pd.Series, n: pd.Series, fraction: pd.Series) -> pd.Series:
-    return pd.Series(np.array([horvitz_thompson(*x) for x in zip(n_j.astype(float), n.astype(float), fraction, strict=True)]), dtype=float)
+def lgamma(x: Column) -> Column:
+    """The logarithm of the gamma function for x > 0: Stirling's series, eight steps further on."""
+    y = x + 8.0
+    steps = reduce(lambda a, b: a * b, [x + float(i) for i in range(8)])
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) + 1 / (1188 * y**9)
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(steps)
+
+
+def missed(q: Column, n: Column, total: Column) -> Column:
+    """``miss`` as a column."""
+    left = total - n - q + 1
+    return F.when(left <= 0, F.lit(0.0)).otherwise(F.exp(lgamma(total - q + 1) + lgamma(total - n + 1) - lgamma(left) - lgamma(total + 1)))
+
+
+def horvitz_share(n_j: Column, n: Column, fraction: Column) -> Column:
+    """``horvitz_thompson`` as a column."""
+    total, final = n / fraction, n_j / fraction
+    return F.when((fraction >= 1) | (total < n + final), F.lit(1.0)).otherwise(1 / F.greatest(F.lit(1e-12), 1 - missed(final, n, total)))
 
 
 def distinct_counts(value_snaps: DataFrame, fit: DataFrame, keys: list[str], method: str = "moment") -> DataFrame:
@@ -83,7 +98,7 @@ def distinct_counts(value_snaps: DataFrame, fit: DataFrame, keys: list[str], met
     if method == "horvitz":
         totals = value_snaps.groupBy("epoch", *keys).agg(F.sum("group_rows").alias("n"))
         each = joined.join(totals, ["epoch", *keys])
-        share = F.when(F.col("fraction") >= 1, F.lit(1.0)).otherwise(horvitz_udf("group_rows", "n", "fraction"))
+        share = horvitz_share(F.col("group_rows"), F.col("n"), F.col("fraction"))
         return each.withColumn("share", share).groupBy("epoch", *keys).agg(F.count(F.lit(1)).alias("seen"), F.sum("share").alias("estimate"))
     sums = joined.groupBy("epoch", "fraction", "power", *keys).agg(F.count(F.lit(1)).alias("seen"), F.sum("group_rows").alias("n"))
     total = F.when(F.col("power") == 0, F.col("n").cast("double")).otherwise(F.round(F.col("n") / F.pow("fraction", "power")))

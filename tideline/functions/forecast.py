@@ -76,13 +76,16 @@ def select_forecast(times: np.ndarray, values: np.ndarray, target: float) -> np.
 
 
 def recursive_forecast(series: DataFrame, keys: list[str], target: float, method: str = "selector") -> DataFrame:
-    """``keys, t, v`` with ``forecast``; ``method`` is ``ses`` (smoothed mean) or ``selector``. Several
-    value columns are forecast by unpivoting them into keys first."""
+    """``keys, t, v`` with ``forecast``; ``method`` is ``ses`` (smoothed mean), ``trend_ses`` (smoothed trend
+    from the last value) or ``selector``. Several value columns are forecast by unpivoting them into
+    keys first."""
+    methods = {"ses": smooth, "trend_ses": lambda t, v: v + smooth(t, trends(t, v)) * (target - t), "selector": lambda t, v: select_forecast(t, v, target)}
+    made = methods[method]
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("t", kind="stable")
         t, v = group["t"].to_numpy(float), group["v"].to_numpy(float)
-        return group.assign(forecast=smooth(t, v) if method == "ses" else select_forecast(t, v, target))
+        return group.assign(forecast=made(t, v))
 
     schema = ", ".join(f"`{c}` {kind}" for c, kind in series.dtypes) + ", forecast double"
     if keys:
@@ -98,7 +101,8 @@ def forecast_columns(series: DataFrame, keys: list[str], columns: list[str], tar
 
 
 def window_forecast(series: DataFrame, keys: list[str], target: float, method: str) -> DataFrame:
-    """``tail``, ``mean``, ``ols`` or ``trend`` (mean trend from the last value), as window expressions."""
+    """``tail``, ``mean``, ``ols``, ``trend`` or ``trend_last`` (mean or last trend from the last value), as
+    window expressions."""
     order = Window.partitionBy(*keys).orderBy("t")
     past = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t, v = F.col("t"), F.col("v")
@@ -109,9 +113,20 @@ def window_forecast(series: DataFrame, keys: list[str], target: float, method: s
     elif method == "ols":
         slope = F.coalesce(F.regr_slope("v", "t").over(past), F.lit(0.0))
         made = F.avg("v").over(past) + slope * (target - F.avg("t").over(past))
-    elif method == "trend":
+    elif method in ("trend", "trend_last"):
         step = (v - F.coalesce(F.lag("v").over(order), F.lit(0.0))) / (t - F.coalesce(F.lag("t").over(order), F.lit(0.0)))
-        return series.withColumn("step", step).withColumn("forecast", v + F.avg("step").over(past) * (target - t)).drop("step")
+        return series.withColumn("step", step).withColumn("forecast", v + (F.avg("step").over(past) if method == "trend" else F.col("step")) * (target - t)).drop("step")
     else:
         raise ValueError(f"unknown method {method!r}")
     return series.withColumn("forecast", made)
+
+
+def line_criteria(series: DataFrame, keys: list[str]) -> DataFrame:
+    """Information criteria of the least-squares line through each series: ``n``, residual sum of squares
+    ``rss``, log-likelihood of normal residuals, ``aic``, ``aicc`` and ``bic``; the line has three parameters
+    (slope, intercept, spread). Series of fewer than five points, or without residuals, have none."""
+    fit = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.regr_syy("v", "t") - F.regr_sxy("v", "t") ** 2 / F.nullif(F.regr_sxx("v", "t"), F.lit(0.0))).alias("rss"))
+    n, k = F.col("n"), 3
+    likely = F.when((n > k + 1) & (F.col("rss") > 0), -n / 2 * (F.log(2 * np.pi * F.col("rss") / n) + 1))
+    fit = fit.withColumn("loglik", likely).withColumn("aic", 2 * k - 2 * F.col("loglik"))
+    return fit.withColumns({"aicc": F.col("aic") + (2 * k * k + 2 * k) / (n - k - 1), "bic": k * F.log(n) - 2 * F.col("loglik")})

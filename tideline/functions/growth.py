@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,19 @@ def growth_fit(snaps: DataFrame, progressed: DataFrame, count: str = DEFAULT_COU
     return points.select("epoch", "fraction", F.coalesce(F.regr_slope("y", "x").over(past), F.lit(0.0)).alias("power"), residual.alias("slope_var"))
 
 
+def line_fit(points: list[tuple[float, float]]) -> tuple[float, float | None]:
+    """``power`` and ``slope_var`` of the line through (ln fraction, ln mean group size), as ``growth_fit``
+    gives them for the last of the points."""
+    x, y = np.array(points, float).T if points else (np.empty(0), np.empty(0))
+    if len(x) < 2:
+        return 0.0, None
+    dx, dy = x - x.mean(), y - y.mean()
+    sxx, sxy, syy = float(dx @ dx), float(dx @ dy), float(dy @ dy)
+    if sxx <= 0:
+        return 0.0, None
+    return sxy / sxx, (syy - sxy * sxy / sxx) / (len(x) * sxx)
+
+
 def final_count(n: Column, fraction: Column, power: Column) -> Column:
     """Rows a group will have at the end: ``round(n / fraction^power)``; power 0 leaves it."""
     return F.when((power == 0) | (fraction == 0), n.cast("double")).otherwise(F.round(n / F.pow(fraction, power)))

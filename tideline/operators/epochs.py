@@ -11,9 +11,24 @@ def key_epochs(df: DataFrame, epochs: int, key: str) -> DataFrame:
     return df.withColumn("epoch", F.pmod(F.col(key), F.lit(epochs)).cast("int"))
 
 
+#: Two rounds of a multiplicative generator modulo a prime scatter keys; any SQL engine can say them.
+PRIME, FIRST, SECOND = 2147483647, 48271, 16807
+
+
+def scattered(key: Column, seed: int) -> Column:
+    """A number from 0 to PRIME - 1 for every whole key."""
+    first = F.pmod(F.pmod(key.cast("bigint"), F.lit(PRIME)) * FIRST + F.lit(seed), F.lit(PRIME))
+    return F.pmod(first * SECOND + F.lit(seed), F.lit(PRIME))
+
+
+def scattered_sql(key: str, seed: int) -> str:
+    return f"(((({key} % {PRIME}) * {FIRST} + {seed}) % {PRIME}) * {SECOND} + {seed}) % {PRIME}"
+
+
 def shuffled_epochs(df: DataFrame, epochs: int, key: str, seed: int) -> DataFrame:
     """A seeded random order of chunks; a key still stays in one epoch."""
-    return df.withColumn("epoch", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(epochs)).cast("int"))
+    place = F.floor(scattered(F.col(key), seed) / (F.lit(PRIME) / F.lit(epochs)))
+    return df.withColumn("epoch", F.least(place, F.lit(epochs - 1)).cast("int"))
 
 
 def row_epochs(df: DataFrame, epochs: int, total: int | None = None) -> DataFrame:

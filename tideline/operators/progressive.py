@@ -28,23 +28,21 @@ def partials(rows: DataFrame, keys: list[str], sums: list[str], mins: list[str]
     return rows.groupBy("epoch", *keys).agg(*aggs)
 
 
+def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Partial results of equal keys as one: counts and sums add up, minima and maxima merge."""
+    types = dict(parts.dtypes)
+    how = {c: F.min if c.endswith("_min") else F.max if c.endswith("_max") else F.sum for c in parts.columns if c not in keys}
+    return parts.groupBy(*keys).agg(*(f(c).cast(types[c]).alias(c) for c, f in how.items()))
+
+
 def accumulate(delta: DataFrame, keys: list[str], epochs: int) -> DataFrame:
-    """Snapshots from deltas: counts and sums add up, minima and maxima merge."""
-    merged = []
-    for name, _ in delta.dtypes:
-        if name == "epoch" or name in keys:
-            continue
-        how = F.min if name.endswith("_min") else F.max if name.endswith("_max") else F.sum
-        merged.append(how(name).alias(name))
-    grown = delta.select(later(epochs).alias("epoch"), *(c for c in delta.columns if c != "epoch"))
-    return grown.groupBy("epoch", *keys).agg(*merged)
+    """Snapshots from deltas: a delta counts in its own and all later epochs."""
+    return merged(delta.select(later(epochs).alias("epoch"), *(c for c in delta.columns if c != "epoch")), ["epoch", *keys])
 
 
-def snapshots(rows: DataFrame, keys: list[str], sums: list[str], epochs: int, mins: list[str] = (), maxs: list[str] = (), variance: bool = False) -> DataFrame:
-    """``epoch``, keys, ``group_rows``, ``<c>_sum`` (as double), ``<c>_min``, ``<c>_max`` and, for
-    ``variance``, the pooled ``<c>_var`` and ``<c>_mean``. A snapshot must never be accumulated again:
-    a second level groups by ``epoch`` as well."""
-    grown = accumulate(partials(rows, keys, sums, mins, maxs, variance), keys, epochs)
+def finished(grown: DataFrame, sums: list[str], variance: bool = False) -> DataFrame:
+    """Merged partial results with ``<c>_sum`` as double and, for ``variance``, ``<c>_mean`` and the
+    pooled ``<c>_var``."""
     n = F.col(DEFAULT_COUNT)
     made: dict[str, Column] = {f"{c}_sum": F.col(f"{c}_sum").cast("double") for c in sums}
     if variance:
@@ -53,6 +51,13 @@ def snapshots(rows: DataFrame, keys: list[str], sums: list[str], epochs: int, mi
     return grown.withColumns(made).drop(*(f"{c}_m{i}" for c in sums for i in (1, 2)))
 
 
+def snapshots(rows: DataFrame, keys: list[str], sums: list[str], epochs: int, mins: list[str] = (), maxs: list[str] = (), variance: bool = False) -> DataFrame:
+    """``epoch``, keys, ``group_rows``, ``<c>_sum`` (as double), ``<c>_min``, ``<c>_max`` and, for
+    ``variance``, the pooled ``<c>_var`` and ``<c>_mean``. A snapshot must never be accumulated again:
+    a second level groups by ``epoch`` as well."""
+    return finished(accumulate(partials(rows, keys, sums, mins, maxs, variance), keys, epochs), sums, variance)
+
+
 def blocked(snaps: DataFrame, epochs: int) -> DataFrame:
     """Keep-last blocking: only the final snapshot."""
     return snaps.where(F.col("epoch") == epochs - 1).drop("epoch")

@@ -9,19 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.functions.distinct import distinct_counts
-from tideline.functions.forecast import recursive_forecast, window_forecast
+from tideline.functions.forecast import line_criteria, recursive_forecast, window_forecast
 from tideline.functions.growth import fixed_power, growth_fit
 from tideline.functions.metrics import accuracy
 from tideline.functions.scaling import half_width, ratio_variance, scale
 from tideline.operators.aggregates import argmax, first_last, keep_first
-from tideline.operators.epochs import key_epochs, progress, shuffled_epochs
+from tideline.operators.epochs import FIRST, PRIME, SECOND, key_epochs, progress, row_epochs, scattered_sql, shuffled_epochs
 from tideline.operators.mapping import apply, apply_at_end, apply_with_fraction
 from tideline.operators.joins import compare_scalar, exists, hash_join, merge_join, not_exists
 from tideline.operators.progressive import blocked, blocked_rows, pair_snapshots, snapshots
 from tideline.plans.progressive import LINES, P, PLANS, oracle, oracle_ctes, run
+from tideline.sources.chunks import epoch_rows
 from tideline.sources.convert import integer_cents, number_table
 from tideline.sources.tables import load, read_delimited, register, write_delimited
 from tideline.storage import fresh_path
+from tideline.streaming.online import select_online
+from tideline.streaming.runner import ProgressiveStream, windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -68,11 +71,27 @@ def progress_fraction(spark, sf_dir):
     return progress(key_epochs(load(spark, sf_dir, "lineitem", ["l_orderkey"]), P, "l_orderkey"), P)
 
 
-@query()
+_DRAWN = f"SELECT CAST(floor(({scattered_sql('l_orderkey', 7)}) / (CAST({PRIME} AS DOUBLE) / {P})) AS INT) AS epoch FROM lineitem"
+
+
+@query(f"WITH scan AS ({_DRAWN}), {T_SQL} SELECT t.epoch, count(*) AS rows, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM scan) AS fraction FROM t JOIN scan ON scan.epoch <= t.epoch GROUP BY t.epoch")
 def shuffled_progress(spark, sf_dir):
     return progress(shuffled_epochs(load(spark, sf_dir, "lineitem", ["l_orderkey"]), P, "l_orderkey", 7), P)
 
 
+@query(f"WITH n AS (SELECT l_quantity, row_number() OVER () - 1 AS place, count(*) OVER () AS total FROM lineitem) SELECT CAST(floor(CAST(place * {P} AS DOUBLE) / total) AS INT) AS epoch, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS q FROM n GROUP BY 1")
+def scan_row_epochs(spark, sf_dir):
+    """Chunks in the order of the file's rows."""
+    rows = row_epochs(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_quantity", "_metadata"), P)
+    return rows.groupBy("epoch").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("bigint").alias("q"))
+
+
+@query(f"SELECT CAST(l_orderkey % {P} AS INT) AS epoch, count(*) AS n FROM lineitem GROUP BY 1")
+def scan_clustered_files(spark, sf_dir):
+    """Rows of every epoch's files of the clustered copy."""
+    return spark.createDataFrame(sorted(epoch_rows(spark, sf_dir, "lineitem", P).items()), "epoch int, n long")
+
+
 # --- rows ------------------------------------------------------------------------------------
 
 
@@ -103,9 +122,15 @@ def convert_integer_cents(spark, sf_dir):
     return integer_cents(load(spark, sf_dir, "lineitem", ["l_orderkey", "l_discount", "l_tax", "l_extendedprice"]))
 
 
-@query()
+def _number(k: int) -> str:
+    seed = 4512763 + 7919 * k
+    return f"CAST(CAST(floor(((((id + 1) * {FIRST} + {seed}) % {PRIME}) * {SECOND} + {seed}) % {PRIME} / 1000.0) AS BIGINT) % 4 AS INT)"
+
+
+@query(f"SELECT {', '.join(f'{_number(k)} AS c{"i" * (k + 1)}' for k in range(10))}, {_number(10)} AS x FROM (SELECT unnest(range((SELECT count(*) FROM orders))) AS id)")
 def convert_number_table(spark, sf_dir):
-    return number_table(spark, 1000)
+    """As many rows as there are orders."""
+    return number_table(spark, load(spark, sf_dir, "orders", ["o_orderkey"]).count())
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 20 AND (l_returnflag = 'R' OR NOT l_linestatus = 'O') AND l_discount BETWEEN 0.02 AND 0.05 AND l_tax <= l_discount AND l_returnflag <> 'N'")
@@ -175,6 +200,24 @@ def left_join_swapped(spark, sf_dir):
     return joined.groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"))
 
 
+def _rich_and_big(spark, sf_dir):
+    rich = load(spark, sf_dir, "customer").where("c_acctbal > 5000").select("c_custkey", "c_nationkey")
+    return rich, load(spark, sf_dir, "orders").where("o_totalprice > 300000").select("o_custkey", "o_orderkey")
+
+
+_SIDES = "(SELECT c_custkey, c_nationkey FROM customer WHERE c_acctbal > 5000) c {} JOIN (SELECT o_custkey, o_orderkey FROM orders WHERE o_totalprice > 300000) o ON c_custkey = o_custkey"
+
+
+@query(f"SELECT o_custkey AS c_custkey, c_nationkey, o_orderkey FROM {_SIDES.format('RIGHT')}")
+def right_join(spark, sf_dir):
+    return hash_join(*_rich_and_big(spark, sf_dir), ["c_custkey"], ["o_custkey"], "right")
+
+
+@query(f"SELECT coalesce(c_custkey, o_custkey) AS c_custkey, c_nationkey, o_orderkey FROM {_SIDES.format('FULL')}")
+def full_join(spark, sf_dir):
+    return hash_join(*_rich_and_big(spark, sf_dir), ["c_custkey"], ["o_custkey"], "full")
+
+
 @query("SELECT CAST(l_orderkey % 10 AS INT) AS epoch, o_orderstatus, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2")
 def merge_join_sorted(spark, sf_dir):
     orders = key_epochs(load(spark, sf_dir, "orders", ["o_orderkey", "o_orderstatus"]).withColumnRenamed("o_orderkey", "k"), P, "k")
@@ -417,16 +460,16 @@ def confidence_interval(spark, sf_dir):
 def _values(spark, sf_dir, keys):
     """Snapshots per key and supplier, and the growth fit of the keys' totals."""
     lines = key_epochs(load(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey"]), P, "l_orderkey")
-    rows = lines.join(load(spark, sf_dir, "part", ["p_partkey", "p_brand", "p_size"]), F.col("l_partkey") == F.col("p_partkey")).where("p_size <= 10")
+    rows = lines.join(load(spark, sf_dir, "part", ["p_partkey", "p_brand"]), F.col("l_partkey") == F.col("p_partkey"))
     values = snapshots(rows, [*keys, "l_suppkey"], [], P)
     totals = values.groupBy("epoch", *keys).agg(F.sum("group_rows").alias("group_rows"))
     return values, growth_fit(totals, progress(lines, P))
 
 
-@query("SELECT p_brand, count(DISTINCT l_suppkey) AS suppliers FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 10 GROUP BY p_brand")
+@query("SELECT p_brand, count(DISTINCT l_suppkey) AS suppliers FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand")
 def count_distinct_exact(spark, sf_dir):
-    rows = load(spark, sf_dir, "lineitem", ["l_partkey", "l_suppkey"]).join(load(spark, sf_dir, "part", ["p_partkey", "p_brand", "p_size"]), F.col("l_partkey") == F.col("p_partkey"))
-    return rows.where("p_size <= 10").groupBy("p_brand").agg(F.count_distinct("l_suppkey").alias("suppliers"))
+    rows = load(spark, sf_dir, "lineitem", ["l_partkey", "l_suppkey"]).join(load(spark, sf_dir, "part", ["p_partkey", "p_brand"]), F.col("l_partkey") == F.col("p_partkey"))
+    return rows.groupBy("p_brand").agg(F.count_distinct("l_suppkey").alias("suppliers"))
 
 
 @query()
@@ -434,9 +477,15 @@ def count_distinct_moment(spark, sf_dir):
     return distinct_counts(*_values(spark, sf_dir, ["p_brand"]), ["p_brand"], "moment")
 
 
-@query()
+_MISSED = "CASE WHEN total - n - q + 1 <= 0 THEN 0 ELSE exp(lgamma(total - q + 1) + lgamma(total - n + 1) - lgamma(total - n - q + 1) - lgamma(total + 1)) END"
+
+
+@query(f"""WITH {T_SQL}, scan AS ({LINES}), f AS (SELECT t.epoch, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM scan) AS fraction FROM t JOIN scan ON scan.epoch <= t.epoch GROUP BY t.epoch),
+    v AS (SELECT t.epoch, p_brand, l_suppkey, CAST(count(*) AS DOUBLE) AS n_j FROM t JOIN lineitem ON l_orderkey % {P} <= t.epoch JOIN part ON p_partkey = l_partkey GROUP BY t.epoch, p_brand, l_suppkey),
+    s AS (SELECT epoch, p_brand, fraction, sum(n_j) OVER (PARTITION BY epoch, p_brand) AS n, sum(n_j) OVER (PARTITION BY epoch, p_brand) / fraction AS total, n_j / fraction AS q FROM v JOIN f USING (epoch))
+    SELECT epoch, p_brand, count(*) AS seen, round(sum(CASE WHEN fraction >= 1 OR total < n + q THEN 1 ELSE 1 / greatest(1e-12, 1 - {_MISSED}) END), 4) AS estimate FROM s GROUP BY epoch, p_brand""")
 def count_distinct_horvitz(spark, sf_dir):
-    return distinct_counts(*_values(spark, sf_dir, ["p_brand"]), ["p_brand"], "horvitz")
+    return distinct_counts(*_values(spark, sf_dir, ["p_brand"]), ["p_brand"], "horvitz").withColumn("estimate", F.round("estimate", 4))
 
 
 @query()
@@ -475,6 +524,7 @@ FORECASTS = {
     "mean": f"avg(v) {PAST}",
     "ols": f"avg(v) {PAST} + (CASE WHEN count(*) {PAST} > 1 THEN regr_slope(v, t) {PAST} ELSE 0 END) * (31.0 - avg(t) {PAST})",
     "trend": f"v + avg(step) {PAST} * (31.0 - t)",
+    "trend_last": "v + step * (31.0 - t)",
 }
 for _name, _made in FORECASTS.items():
     QUERIES[f"forecast_{_name}"] = _forecast(_name)
@@ -488,9 +538,72 @@ def forecast_ses(spark, sf_dir):
     return recursive_forecast(_series(spark, sf_dir), ["event_type"], 31.0, "ses").withColumn("forecast", F.round("forecast", 6))
 
 
-@query()
+_STEPS = f"""s AS ({SERIES}), d AS (SELECT *, (v - coalesce(lag(v) OVER w, 0)) / (t - coalesce(lag(t) OVER w, 0)) AS step, min(t) OVER (PARTITION BY event_type) AS t0, row_number() OVER w AS i
+    FROM s WINDOW w AS (PARTITION BY event_type ORDER BY t))"""
+
+
+def _smoothed(column: str, base: float) -> str:
+    """The smoothed mean of a column up to point ``a``, over points ``b``, in SQL."""
+    weight = f"pow({base}, (a.t - b.t) / a.t0)"
+    return f"sum({weight} * b.{column}) / sum({weight})"
+
+
+@query(f"""WITH {_STEPS}
+    SELECT a.event_type, a.t, a.v, round(a.v + {_smoothed('step', 0.5)} * (31.0 - a.t), 6) AS forecast FROM d a JOIN d b ON a.event_type = b.event_type AND b.t <= a.t GROUP BY a.event_type, a.t, a.v""")
+def forecast_trend_ses(spark, sf_dir):
+    return recursive_forecast(_series(spark, sf_dir), ["event_type"], 31.0, "trend_ses").withColumn("forecast", F.round("forecast", 6))
+
+
+@query(f"""WITH {_STEPS}, m AS (
+      SELECT a.event_type, a.i, a.t, a.t0, a.v, a.step, avg(b.v) AS mean, avg(b.t) AS mid, CASE WHEN count(*) > 1 THEN regr_slope(b.v, b.t) ELSE 0 END AS slope,
+             avg(b.step) AS mean_step, {_smoothed('v', 0.75)} AS smooth_v, {_smoothed('step', 0.5)} AS smooth_step
+      FROM d a JOIN d b ON a.event_type = b.event_type AND b.t <= a.t GROUP BY a.event_type, a.i, a.t, a.t0, a.v, a.step),
+    k AS (
+      SELECT event_type, i, t, t0, unnest(range(7)) AS model, unnest([0, 0, 0, slope, step, mean_step, smooth_step]) AS rise, unnest([v, mean, smooth_v, mean + slope * (t - mid), v, v, v]) AS now FROM m),
+    e AS (SELECT k.event_type, k.i + 1 AS i, k.t, k.t0, model, rise, now, pow(n.v - (now + rise * (n.t - k.t)), 2) AS off FROM k JOIN d n ON n.event_type = k.event_type AND n.i = k.i + 1),
+    r AS (SELECT a.event_type, a.i, a.t, a.model, a.rise, a.now, {_smoothed('off', 0.75)} AS score FROM e a JOIN e b ON a.event_type = b.event_type AND a.model = b.model AND b.i <= a.i GROUP BY a.event_type, a.i, a.t, a.model, a.rise, a.now),
+    z AS (SELECT event_type, i, now + rise * (31.0 - t) AS forecast, row_number() OVER (PARTITION BY event_type, i ORDER BY score, model DESC) AS place FROM r)
+    SELECT d.event_type, d.t, d.v, round(CASE WHEN d.i = 1 THEN d.v ELSE z.forecast END, 6) AS forecast FROM d LEFT JOIN z ON z.event_type = d.event_type AND z.i = d.i AND z.place = 1""")
 def forecast_selector(spark, sf_dir):
-    return recursive_forecast(_series(spark, sf_dir), ["event_type"], 31.0, "selector")
+    return recursive_forecast(_series(spark, sf_dir), ["event_type"], 31.0, "selector").withColumn("forecast", F.round("forecast", 6))
+
+
+@query(f"""WITH s AS ({SERIES}), f AS (SELECT event_type, count(*) AS n, regr_syy(v, t) - pow(regr_sxy(v, t), 2) / nullif(regr_sxx(v, t), 0) AS rss FROM s GROUP BY event_type),
+    l AS (SELECT *, CASE WHEN n > 4 AND rss > 0 THEN -n / 2.0 * (ln(2 * pi() * rss / n) + 1) END AS loglik FROM f)
+    SELECT event_type, n, round(6 - 2 * loglik, 6) AS aic, round(6 - 2 * loglik + 24.0 / (n - 4), 6) AS aicc, round(3 * ln(n) - 2 * loglik, 6) AS bic FROM l""")
+def forecast_criteria(spark, sf_dir):
+    return line_criteria(_series(spark, sf_dir), ["event_type"]).select("event_type", "n", *(F.round(c, 6).alias(c) for c in ("aic", "aicc", "bic")))
+
+
+# --- streams ---------------------------------------------------------------------------------
+
+
+@query("SELECT date_trunc('hour', ts) AS began, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+def windowed_events(spark, sf_dir):
+    return windowed_counts(load(spark, sf_dir, "events")).select(F.col("w.start").alias("began"), "event_type", "n", F.round("value", 4).alias("value"))
+
+
+@query("SELECT l_returnflag, CAST(count(*) AS DOUBLE) AS n, CAST(sum(l_quantity) AS DOUBLE) AS q FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size <= 25 GROUP BY l_returnflag")
+def stream_last_estimate(spark, sf_dir):
+    """The last estimate of a stream of chunk files joined with a table that stands still: the exact answer."""
+    lines = load(spark, sf_dir, "lineitem", ["l_partkey", "l_returnflag", "l_quantity"])
+    part = load(spark, sf_dir, "part", ["p_partkey", "p_size"]).where("p_size <= 25")
+    folder = fresh_path(spark, "stream-chunks")
+    lines.repartition(3).write.parquet(folder)
+    last = {}
+    stream = ProgressiveStream(spark, folder, lines.schema, lines.count(), lambda chunk: chunk.join(part, F.col("l_partkey") == F.col("p_partkey")), ["l_returnflag"], ["l_quantity"], variance=True)
+    stream.run(lambda number, fraction, df: last.update(df=df))
+    return last["df"].select("l_returnflag", F.col("n_final").alias("n"), F.col("l_quantity_sum").alias("q"))
+
+
+_ONLINE = "SUM(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) FROM customer, orders, lineitem WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND c_mktsegment = 'BUILDING' AND o_orderdate < DATE '1997-03-15' AND l_shipdate > DATE '1997-03-15'"
+
+
+@query(oracle(PLANS["prog_q23"]).replace("round(v_sum, 2) AS revenue", "round(v_sum, 2) AS estimate"))
+def select_online_reports(spark, sf_dir):
+    """All reports of an online statement whose budget is large."""
+    reports = select_online(spark, sf_dir, f"SELECT ONLINE {_ONLINE} WITHTIME 3600000 CONFIDENCE 95 REPORTINTERVAL 0;")
+    return spark.createDataFrame([(r.epoch, round(r.estimate, 2)) for r in reports], "epoch int, estimate double")
 
 
 # --- metrics ---------------------------------------------------------------------------------

@@ -1,20 +1,22 @@
 """Exact decision-support queries over the star schema, as SQL that Catalyst plans.
 
 The tables are a reduced TPC-H: where a query needs an absent column or table, a stand-in of the
-same shape is used (``PS`` is a part-supplier table made from lineitem; "late" is a shipment over
+same shape is used (``ps`` is a part-supplier table made from lineitem; "late" is a shipment over
 60 days after the order). Money is exact: decimals that fit a long per row, a double at the end.
 Predicates stand on scan columns, so they are pushed down; joins are left to the optimizer.
 """
 
 from __future__ import annotations
 
+from tideline.sources.chunks import PS
+
 PRICE = "CAST(l_extendedprice AS DECIMAL(12,2))"
 REVENUE = f"{PRICE} * (1 - CAST(l_discount AS DECIMAL(4,2)))"
-#: Cost in cents a unit, and quantity, of a part at a supplier.
-PS = """ps AS (
-  SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey,
-         CAST(min(floor(l_extendedprice * 100 / l_quantity)) AS BIGINT) AS ps_cost, CAST(sum(l_quantity) AS BIGINT) AS ps_qty
-  FROM lineitem GROUP BY l_partkey, l_suppkey)"""
+#: Windows that an exact query shares with its progressive form.
+Q4_WHEN = "o_orderdate >= DATE '1996-07-01' AND o_orderdate < DATE '1996-10-01'"
+Q5_WHEN = "o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1998-01-01'"
+Q7_WHEN = "l_shipdate BETWEEN DATE '1995-01-01' AND DATE '1999-12-31'"
+Q14_WHEN = "l_shipdate >= DATE '1996-09-01' AND l_shipdate < DATE '1996-10-01'"
 
 
 def money(expression: str, name: str) -> str:
@@ -44,9 +46,9 @@ EXACT: dict[str, str] = {
         FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
         WHERE c_mktsegment = 'BUILDING' AND o_orderdate < DATE '1996-03-15' AND l_shipdate > DATE '1996-03-15'
         GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, l_orderkey LIMIT 10""",
-    "tpch_q4": """
+    "tpch_q4": f"""
         SELECT o_orderpriority, count(*) AS order_count FROM orders
-        WHERE o_orderdate >= DATE '1996-07-01' AND o_orderdate < DATE '1996-10-01' AND EXISTS (
+        WHERE {Q4_WHEN} AND EXISTS (
           SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate + INTERVAL '60' DAY)
         GROUP BY o_orderpriority ORDER BY o_orderpriority""",
     "tpch_q5": f"""
@@ -54,7 +56,7 @@ EXACT: dict[str, str] = {
         FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
         JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey
         JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-        WHERE r_name = 'ASIA' AND o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1998-01-01'
+        WHERE r_name = 'ASIA' AND {Q5_WHEN}
         GROUP BY n_name ORDER BY revenue DESC""",
     "tpch_q6": f"""
         SELECT {money(f"{PRICE} * CAST(l_discount AS DECIMAL(4,2))", "revenue")} FROM lineitem
@@ -64,7 +66,7 @@ EXACT: dict[str, str] = {
         FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
         JOIN nation n1 ON s_nationkey = n1.n_nationkey JOIN nation n2 ON c_nationkey = n2.n_nationkey
         WHERE ((n1.n_name = 'NATION_3' AND n2.n_name = 'NATION_8') OR (n1.n_name = 'NATION_8' AND n2.n_name = 'NATION_3'))
-          AND l_shipdate BETWEEN DATE '1995-01-01' AND DATE '1999-12-31'
+          AND {Q7_WHEN}
         GROUP BY n1.n_name, n2.n_name, CAST(year(l_shipdate) AS INT) ORDER BY supp_nation, cust_nation, l_year""",
     "tpch_q8": f"""
         WITH sales AS (
@@ -106,7 +108,7 @@ EXACT: dict[str, str] = {
         SELECT c_count, count(*) AS custdist FROM c_orders GROUP BY c_count ORDER BY custdist DESC, c_count DESC""",
     "tpch_q14": f"""
         SELECT round(100.0 * CAST(sum(CASE WHEN p_type LIKE 'PROMO%' THEN {REVENUE} ELSE 0 END) AS DOUBLE) / CAST(sum({REVENUE}) AS DOUBLE), 8) AS promo_revenue
-        FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= DATE '1996-09-01' AND l_shipdate < DATE '1996-10-01'""",
+        FROM lineitem JOIN part ON l_partkey = p_partkey WHERE {Q14_WHEN}""",
     "tpch_q15": f"""
         WITH revenue AS (
           SELECT l_suppkey AS supplier_no, {money(REVENUE, "total_revenue")} FROM lineitem
@@ -166,7 +168,7 @@ EXACT: dict[str, str] = {
         SELECT {money(REVENUE, "revenue")}
         FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
         JOIN nation n1 ON s_nationkey = n1.n_nationkey JOIN nation n2 ON c_nationkey = n2.n_nationkey
-        WHERE n1.n_name = 'NATION_3' AND n2.n_name = 'NATION_8' AND l_shipdate BETWEEN DATE '1995-01-01' AND DATE '1999-12-31'""",
+        WHERE n1.n_name = 'NATION_3' AND n2.n_name = 'NATION_8' AND {Q7_WHEN}""",
     "ola_q26": """
         WITH cents AS (
           SELECT l_returnflag, l_linestatus, l_shipdate, CAST(l_quantity AS BIGINT) AS q, CAST(round(l_extendedprice) AS BIGINT) AS p,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideline.operators.epochs import scattered
 from tideline.sources.tables import read_delimited
 
 
@@ -33,6 +34,6 @@ def number_table(spark: SparkSession, rows: int, columns: int = 10, cardinality:
     base = spark.range(0, rows, 1, partitions) if partitions else spark.range(rows)
 
     def draw(k: int):
-        return F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(cardinality)).cast("int")
+        return F.pmod(F.floor(scattered(F.col("id") + 1, seed + 7919 * k) / 1000), F.lit(cardinality)).cast("int")
 
     return base.select(*(draw(k).alias("c" + "i" * (k + 1)) for k in range(columns)), draw(columns).alias("x"))

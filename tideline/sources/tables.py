@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideline.storage import materialize, write_single, write_text
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -75,15 +78,41 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",", header: bool = Tru
     df.write.mode("overwrite").csv(path, sep=sep, header=header)
 
 
-def write_epochs(snapshots: DataFrame, path: str, experiment: str = "latency") -> None:
-    """CSV sink: the final snapshot below ``final``; for an accuracy run also one folder an epoch."""
-    if experiment == "accuracy":
-        snapshots.write.mode("overwrite").partitionBy("epoch").csv(f"{path}/epochs", header=True)
-    last = snapshots.agg(F.max("epoch")).first()[0]
-    write_delimited(snapshots.where(F.col("epoch") == last).drop("epoch"), f"{path}/final")
+def write_csv_file(df: DataFrame, path: str) -> None:
+    """One CSV file with a header."""
+    write_single(df, path, lambda rows, folder: write_delimited(rows, folder))
 
 
-def write_timing(path: str, result_dir: str, measures_ns: list[int]) -> None:
+def write_epochs(snapshots: DataFrame, path: str, experiment: str = "latency") -> None:
+    """CSV sink of a table of snapshots: ``final.csv``, the last one; for an accuracy run also
+    ``0.csv``, ``1.csv``, ... for every epoch."""
+    epochs = sorted(r.epoch for r in snapshots.select("epoch").distinct().collect())
+    for epoch in epochs:
+        rows = snapshots.where(F.col("epoch") == epoch).drop("epoch")
+        if experiment == "accuracy":
+            write_csv_file(rows, f"{path}/{epoch}.csv")
+        if epoch == epochs[-1]:
+            write_csv_file(rows, f"{path}/final.csv")
+
+
+def write_estimates(run: Iterable[tuple[int, float, DataFrame]], path: str, experiment: str = "latency") -> list[int]:
+    """Runs through the estimates of a query as they come, writes ``final.csv`` (for an accuracy run also
+    one file per estimate) and returns the time of every estimate in ns since the start. An estimate is
+    computed once; writing a file of it is not part of its time."""
+    began, writing, times = time.perf_counter_ns(), 0, []
+    last = None
+    for number, _, df in run:
+        last = materialize(df.drop("epoch"), "estimate")
+        now = time.perf_counter_ns()
+        times.append(now - began - writing)
+        if experiment == "accuracy":
+            write_csv_file(last, f"{path}/{number}.csv")
+        writing += time.perf_counter_ns() - now
+    if last is not None:
+        write_csv_file(last, f"{path}/final.csv")
+    return times
+
+
+def write_timing(spark: SparkSession, path: str, result_dir: str, measures_ns: list[int]) -> None:
     """Timing sink of a run: one time per emitted estimate."""
-    with open(path, "w") as f:
-        json.dump({"result_dir": result_dir, "time_measures_ns": measures_ns}, f)
+    write_text(spark, path, json.dumps({"result_dir": result_dir, "time_measures_ns": measures_ns}))

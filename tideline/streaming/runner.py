@@ -1,82 +1,71 @@
 """Early answers: the same estimates from a stream of chunk files, one micro-batch an epoch.
 
-Each micro-batch is aggregated to partial results (delta), which are appended to a small state table
-in the shared folder under the batch's number; a replayed batch overwrites its own part. The
-snapshot is the sum of the parts so far and is scaled like the batch form's. Only one row per
-epoch, the points of the growth fit, is kept on the driver.
+Each micro-batch is aggregated to partial results, which are merged into a stored snapshot under the
+batch's number (``operators.state``); a replayed batch replaces its own. The snapshot is scaled like the
+batch form's.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from tideline.functions.growth import growth_fit
 from tideline.functions.scaling import scale
-from tideline.operators.progressive import accumulate, partials, snapshots
-from tideline.storage import fresh_path
+from tideline.operators.progressive import snapshots
+from tideline.operators.state import SnapshotState
+from tideline.storage import fresh_path, materialize
 
 
 class ProgressiveStream:
-    """Runs ``rows(chunk)`` -> keys and summed columns over files of one table, as they arrive.
+    """Runs ``rows(chunk)`` -> keys and summed columns over files of one table, as they arrive; ``rows``
+    may join tables that stand still, and ``post`` works on every estimate.
 
     ``total`` is the expected number of rows of the scan; every micro-batch (``maxFilesPerTrigger=1``)
     emits an estimate to ``sink(epoch, fraction, DataFrame)``. File order is modification time.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, total: int, rows: Callable[[DataFrame], DataFrame], keys: list[str], sums: list[str], file_format: str = "parquet"):
-        self.spark, self.folder, self.schema, self.total = spark, folder, schema, total
-        self.rows, self.keys, self.sums, self.file_format = rows, keys, sums, file_format
-        self.state = fresh_path(spark, "stream-state")
-        self.seen: list[tuple[int, int]] = []
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, total: int, rows: Callable[[DataFrame], DataFrame], keys: list[str], sums: list[str], file_format: str = "parquet", variance: bool = False, post: Callable[[DataFrame], DataFrame] = lambda df: df):
+        self.spark, self.folder, self.schema, self.rows, self.file_format, self.post = spark, folder, schema, rows, file_format, post
+        self.state = SnapshotState(spark, keys, sums, total, variance)
+        self.query: StreamingQuery | None = None
         self.times_ns: list[int] = []
 
     def _batch(self, sink: Callable[[int, float, DataFrame], None], began: int) -> Callable[[DataFrame, int], None]:
-        def handle(chunk: DataFrame, number: int) -> None:
-            spark = chunk.sparkSession
-            chunk = chunk.persist()
+        def handle(rows: DataFrame, number: int) -> None:
+            rows = rows.persist()
             try:
-                self.seen = [x for x in self.seen if x[0] < number] + [(number, chunk.count())]
-                delta = partials(self.rows(chunk).withColumn("epoch", F.lit(number)), self.keys, self.sums)
-                delta.write.mode("overwrite").parquet(f"{self.state}/part={number}")
+                self.state.add(number, self.rows(rows), rows.count())
             finally:
-                chunk.unpersist()
-            so_far = spark.read.schema(delta.schema).parquet(*(f"{self.state}/part={n}" for n, _ in self.seen))
-            done, points = 0, []
-            for n, rows in self.seen:
-                done += rows
-                points.append((n, done, min(1.0, done / self.total)))
-            progressed = spark.createDataFrame(points, "epoch int, rows long, fraction double")
-            parts = so_far.groupBy("epoch", *self.keys).agg(*(F.sum(c).alias(c) for c in delta.columns if c not in ("epoch", *self.keys)))
-            grown = snapshots_of(parts, self.keys, self.sums, number + 1)
-            fit = growth_fit(grown, progressed)
-            out = scale(grown.where(F.col("epoch") == number), fit, self.sums)
-            sink(number, points[-1][2], out)
+                rows.unpersist()
+            sink(number, self.state.fraction, self.post(self.state.estimate()))
             self.times_ns.append(time.perf_counter_ns() - began)
 
         return handle
 
     def run(self, sink: Callable[[int, float, DataFrame], None]) -> list[int]:
         """Processes what is there and stops; returns the times of the estimates."""
-        stream = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", 1).format(self.file_format).load(self.folder)
-        query = stream.writeStream.foreachBatch(self._batch(sink, time.perf_counter_ns())).option("checkpointLocation", fresh_path(self.spark, "stream-offsets")).trigger(availableNow=True).start()
-        query.awaitTermination()
+        stream = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").format(self.file_format).load(self.folder)
+        writer = stream.writeStream.foreachBatch(self._batch(sink, time.perf_counter_ns())).option("checkpointLocation", fresh_path(self.spark, "stream-offsets"))
+        self.query = writer.trigger(availableNow=True).start()
+        self.query.awaitTermination()
         return self.times_ns
 
+    def stop(self) -> None:
+        """Ends the run after the micro-batch at hand."""
+        if self.query is not None:
+            self.query.stop()
 
-def snapshots_of(parts: DataFrame, keys: list[str], sums: list[str], epochs: int) -> DataFrame:
-    """Snapshots from stored deltas."""
-    return accumulate(parts, keys, epochs).withColumns({f"{c}_sum": F.col(f"{c}_sum").cast("double") for c in sums})
 
-
-def run_progressive(rows: DataFrame, keys: list[str], sums: list[str], progressed: DataFrame, epochs: int):
-    """Generator over a replayed batch: (epoch, fraction, estimate) in order, from one shared set of
+def run_progressive(rows: DataFrame, keys: list[str], sums: list[str], progressed: DataFrame, epochs: int) -> Iterator[tuple[int, float, DataFrame]]:
+    """Generator over a replayed batch: (epoch, fraction, estimate) in order, from one stored set of
     snapshots."""
-    grown = snapshots(rows, keys, sums, epochs)
+    grown = materialize(snapshots(rows, keys, sums, epochs), "replayed")
     scaled = scale(grown, growth_fit(grown, progressed), sums)
     for epoch, fraction in sorted((r.epoch, r.fraction) for r in progressed.select("epoch", "fraction").collect()):
         yield epoch, fraction, scaled.where(F.col("epoch") == epoch)
