@@ -15,7 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.batches import held_out, map_rows
+from tideline.llm.batches import extend_rows, held_out, map_rows
+from tideline.storage import materialize, scratch
 
 UNKNOWN = "und"
 GAP = 32
@@ -91,6 +92,10 @@ class Space:
         return total / (np.linalg.norm(total) or 1.0)
 
 
+#: Unit vectors are added as integers of this many steps: sums do not depend on their order.
+STEPS = 1 << 20
+
+
 class Profiles:
     """Prototypes of languages; ``predict`` gives the language and the cosine."""
 
@@ -98,15 +103,17 @@ class Profiles:
         self.dims, self.seed, self.languages, self.prototypes = dims, seed, languages, prototypes
 
     @classmethod
-    def learn(cls, rows: list[tuple[str, str]], dims: int = 512, seed: int = 7) -> Profiles:
-        space, sums = Space(dims, seed), {}
-        for text, lang in rows:
-            if (v := space.bundle(text)) is not None:
-                sums[lang] = sums.get(lang, 0) + v
+    def of_sums(cls, sums: dict[str, np.ndarray], dims: int, seed: int) -> Profiles:
+        """From every language's sum of its texts' vectors."""
         languages = sorted(sums)
-        made = [sums[x] / np.linalg.norm(sums[x]) for x in languages]
+        made = [sums[x] / (np.linalg.norm(sums[x]) or 1.0) for x in languages]
         return cls(dims, seed, languages, np.array(made, np.float32).reshape(-1, dims))
 
+    @classmethod
+    def learn(cls, rows: list[tuple[str, str]], dims: int = 512, seed: int = 7) -> Profiles:
+        """From (text, language) pairs."""
+        return cls.of_sums(language_sums(Space(dims, seed), rows), dims, seed)
+
     @property
     def margin(self) -> float:
         """The cosine that a text unlike every language reaches in about 1 of 200 cases: each of
@@ -122,26 +129,46 @@ class Profiles:
         return self.languages[best], float(min(1.0, max(0.0, cosines[best])))
 
 
-def training_rows(docs: DataFrame, per_language: int = 600, most_languages: int = 512, most_rows: int = 20_000, seed: int = 11) -> list[tuple[str, str]]:
-    """A bounded sample of rows to learn from: about ``per_language`` whole texts (fewer if there are
-    so many languages that these were over ``most_rows``) for each of the ``most_languages`` most
-    frequent values of ``lang``, chosen by a hash of the id. Rows that
-    are held out, and rows without id, lang or text, are never among them."""
+def language_sums(space: Space, rows: list[tuple[str, str]]) -> dict[str, np.ndarray]:
+    sums: dict[str, np.ndarray] = {}
+    for text, lang in rows:
+        if (v := space.bundle(text)) is not None:
+            sums.setdefault(lang, np.zeros(space.dims, np.int64))
+            sums[lang] += np.round(v * STEPS).astype(np.int64)
+    return sums
+
+
+def training_rows(docs: DataFrame, per_language: int = 600, most_rows: int = 20_000, seed: int = 11) -> DataFrame:
+    """A bounded sample of rows (``text, lang``) to learn from: about ``per_language`` whole texts (fewer,
+    but one at least, if there are so many languages that these were over ``most_rows``) for
+    every value of ``lang``, chosen by a hash of the id. Rows that are held out, and rows without
+    id, lang or text, are never among them."""
     rows = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    if not counts:
-        return []
     wide = 1 << 30
-    each = max(1, min(per_language, most_rows // len(counts)))
-    shares = [F.lit(x) for lang, n in counts for x in (lang, int(min(1.0, each / n) * wide))]
-    share = F.coalesce(F.try_element_at(F.create_map(*shares), F.col("lang")), F.lit(0))
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(wide)) < share)
-    return sorted((r.text, r.lang) for r in chosen.select("text", "lang").collect())
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(wide))
+    counts = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.min(drawn).alias("least")), "language-counts")
+    languages = counts.count()
+    each = max(1, min(per_language, most_rows // max(1, languages)))
+    share = F.least(F.lit(1.0), F.lit(float(each)) / F.col("count")) * wide
+    shares = counts.select(F.col("lang").alias("of"), F.greatest(F.ceil(share), F.col("least") + 1).alias("share"))
+    near = F.broadcast(shares) if languages <= most_rows else shares
+    return rows.join(near, F.col("lang") == F.col("of")).where(drawn < F.col("share")).select("text", "lang")
 
 
 def learn_profiles(docs: DataFrame, per_language: int = 600, dims: int = 512, seed: int = 7) -> Profiles:
-    """Profiles from the bounded sample of ``training_rows``. An empty table gives no language."""
-    return Profiles.learn(training_rows(docs, per_language), dims, seed)
+    """Profiles from the bounded sample of ``training_rows``. Texts become vectors where they are; what
+    comes to the driver is a sum of ``dims`` numbers for each language, whatever the texts' lengths. An empty table gives no language."""
+
+    def make():
+        space = Space(dims, seed)
+        return lambda rows: [(lang, total.tolist()) for lang, total in language_sums(space, rows).items()]
+
+    with scratch(docs.sparkSession):
+        parts = map_rows(training_rows(docs, per_language), make, [("lang", "string"), ("total", "array<bigint>")])
+        sums = parts.select("lang", F.posexplode("total")).groupBy("lang", "pos").agg(F.sum("col").alias("v"))
+        rows = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("all")).select("lang", F.transform("all", lambda x: x["v"]).alias("total"))
+        found = {r.lang: np.array(r.total, np.int64) for r in rows.collect()}
+    return Profiles.of_sums(found, dims, seed)
 
 
 def identify_language(docs: DataFrame, profiles: Profiles, keep: list[str] | None = None) -> DataFrame:
@@ -153,13 +180,9 @@ def identify_language(docs: DataFrame, profiles: Profiles, keep: list[str] | Non
     Repeated rows stay repeated; columns not in ``keep`` are ignored. Narrow: no shuffle; the
     profiles (languages x dims floats) travel in the closure.
     """
-    keep = ["doc_id"] if keep is None else keep
-    types = dict(docs.dtypes)
 
     def make():
         space = Space(profiles.dims, profiles.seed)
-        return lambda rows: [row[:-1] + profiles.predict(space, row[-1]) for row in rows]
+        return lambda texts: [profiles.predict(space, text) for text in texts]
 
-    fields = [(f"k{i}", types[k]) for i, k in enumerate(keep)] + [("lang_pred", "string"), ("score", "double")]
-    done = map_rows(docs.select(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)), F.col("text")), make, fields)
-    return done.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), "lang_pred", "score")
+    return extend_rows(docs, ["doc_id"] if keep is None else keep, make, [("lang_pred", "string"), ("score", "double")])
