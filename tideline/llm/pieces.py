@@ -6,26 +6,33 @@ outside the vocabulary are spelled in byte pieces.
 
 No piece of the supported vocabularies has a word mark (U+2581) after another character, so no
 join crosses such a border: the text is cut there and equal words are encoded once per worker.
-``Pieces`` verifies that property and otherwise treats the text as one word. Each newly seen
-word of an Arrow batch is compared with the sentencepiece library, ids and decoded text.
+``Pieces`` verifies that property and otherwise treats the text as one word. The new words of an
+Arrow batch go through the agenda together, one row of a matrix each, and are all compared with the
+sentencepiece library, ids and decoded text.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import re
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
+import numpy as np
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tideline.llm.batches import TwoGenerations, map_rows
+from tideline.llm.batches import extend_rows
 
 MARK = "▁"
-#: Words up to this many characters are joined by ``join_short``.
-SHORT = 48
+#: Words up to this many characters are joined together by ``join_rows``, in blocks of
+#: so many.
+SHORT, BLOCK = 48, 4096
+#: Words that the library takes as one text.
+TOGETHER = 256
+NEVER = np.int32(1 << 30)
+SPACED = re.compile(" +[^ ]*")
 
 
 class Pieces:
@@ -53,40 +60,74 @@ class Pieces:
         self.hidden = {i for i, p in enumerate(model.pieces) if p.type == 3}
         self.plain = {i for i, p in enumerate(model.pieces) if p.type == normal}
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == 2)
-        inside = any(MARK in p.lstrip(MARK) for p in self.score)
-        self.words = (lambda s: [s]) if inside else re.compile(f"{MARK}+[^{MARK}]*").findall
-
-    def marked(self, text: str) -> list[str]:
-        """The words of a text: every one starts with a mark."""
-        return self.words(MARK + text.replace(" ", MARK)) if text else []
-
-    def join(self, word: str) -> list[str]:
-        """The symbols of a word after all joins."""
-        return self.join_short(word) if len(word) <= SHORT else self.join_long(word)
-
-    def join_short(self, word: str) -> list[str]:
-        """The agenda is a list of the scores of adjacent pairs: for few symbols, finding the first
-        best one is cheaper than keeping a heap."""
-        score, never = self.score.get, float("inf")
-        symbols = list(word)
-        agenda = [score(a + b, never) for a, b in zip(symbols, symbols[1:], strict=False)]
-        while agenda:
-            best = min(agenda)
-            if best == never:
+        self.whole = any(MARK in p.lstrip(MARK) for p in self.score)  # no borders inside a text
+        self._tables()
+
+    def _tables(self) -> None:
+        """The vocabulary as arrays: the symbol of a character (``none`` if it is not a piece), which
+        pairs of symbols join to which, and the rank of a symbol's score."""
+        known, self.none = self.id, len(self.text)
+        self.symbol = np.full(0x110000, self.none, np.int32)
+        for p, i in known.items():
+            if len(p) == 1:
+                self.symbol[ord(p)] = i
+        pairs = sorted((known[p[:k]] * (self.none + 1) + known[p[k:]], i) for p, i in known.items() for k in range(1, len(p)) if p[:k] in known and p[k:] in known)
+        self.pair, self.joined = (np.array(x, kind) for x, kind in zip(zip(*pairs, strict=True), (np.int64, np.int32), strict=True))
+        ids = np.fromiter(known.values(), np.int64, len(known))
+        ranks = np.unique(np.fromiter((self.score[p] for p in known), float, len(known)), return_inverse=True)[1]
+        self.rank = np.full(self.none + 1, NEVER, np.int32)
+        self.rank[ids] = ranks
+
+    def split(self, text: str | None) -> list[str]:
+        """The words of a text, each without the first of the spaces that stand before it."""
+        if not text:
+            return []
+        words = [text] if self.whole else text.split(" ")
+        return [w[1:] for w in SPACED.findall(f" {text}")] if "" in words else words
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What pairs of symbols join to, ``none`` for nothing."""
+        key = left.astype(np.int64) * (self.none + 1) + right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where(self.pair[at] == key, self.joined[at], self.none).astype(np.int32)
+
+    def join_rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The agendas of many short words, one a row: in every round each word joins its best
+        pair, the leftmost of equals. Returns the symbols that are left, word by word, and for
+        each of them its place (row and character)."""
+        rows, width = len(words), max(map(len, words))
+        points = np.array(words, f"<U{width}").view(np.uint32).reshape(rows, width)
+        symbols = np.full((rows, width + 2), self.none, np.int32)  # one more on both sides, which joins with nothing
+        symbols[:, 1:-1] = self.symbol[points]
+        inside = np.arange(width) < np.fromiter(map(len, words), np.int64, rows)[:, None]
+        symbols[:, 1:-1][~inside] = self.none
+        after, before = (np.tile(np.arange(d, width + 2 + d, dtype=np.int16), (rows, 1)) for d in (1, -1))
+        made = np.full((rows, width + 2), self.none, np.int32)
+        made[:, :-1] = self._pairs(symbols[:, :-1], symbols[:, 1:])
+        agenda = self.rank[made]
+        open_rows = np.arange(rows)
+        while True:
+            best = agenda[open_rows].argmin(1)
+            more = agenda[open_rows, best] < NEVER
+            r, i = open_rows[more], best[more]
+            if not len(r):
                 break
-            i = agenda.index(best)
-            pair = symbols[i] + symbols.pop(i + 1)
-            symbols[i] = pair
-            del agenda[i]
-            if i < len(agenda):
-                agenda[i] = score(pair + symbols[i + 1], never)
-            if i:
-                agenda[i - 1] = score(symbols[i - 1] + pair, never)
-        return symbols
+            open_rows = r
+            j = after[r, i]
+            k = after[r, j]
+            pair = made[r, i]
+            symbols[r, i], symbols[r, j], agenda[r, j] = pair, -1, NEVER
+            after[r, i], before[r, k] = k, i
+            h = before[r, i]
+            both = self._pairs(np.concatenate([pair, symbols[r, h]]), np.concatenate([symbols[r, k], pair]))
+            made[r, i], made[r, h] = both[: len(r)], both[len(r) :]
+            agenda[r, i], agenda[r, h] = self.rank[made[r, i]], self.rank[made[r, h]]
+        left = inside & (symbols[:, 1:-1] >= 0)
+        return symbols[:, 1:-1][left], np.argwhere(left)
 
     def join_long(self, word: str) -> list[str]:
-        """The agenda is a heap of (score, place, pair); an entry
-        is stale if the symbol at its place no longer begins that pair."""
+        """The symbols of one word after all joins. The agenda is a heap of (score, place, pair); an
+        entry is stale if the symbol at its place no longer begins that pair."""
         score = self.score.get
         symbols: list = list(word)
         after = list(range(1, len(symbols) + 1))
@@ -115,16 +156,50 @@ class Pieces:
                 heappush(agenda, (s, back, new))
         return [s for s in symbols if s]
 
-    def encode_word(self, word: str) -> list[int]:
-        known = self.id
-        symbols = self.join(word)
-        try:
-            return [known[s] for s in symbols]
-        except KeyError:
-            return [i for s in symbols for i in ([known[s]] if s in known else [self.byte[b] for b in s.encode("utf-8")])]
+    def encode_words(self, words: list[str]) -> tuple[list[int], list[int], set[int]]:
+        """The ids of words of ``split`` (each has a mark before it), one after another; where each
+        word's ids end; and the words (by place) that have byte pieces. Words of about equal lengths
+        should stand together."""
+        flat: list[int] = []
+        ends: list[int] = []
+        odd: set[int] = set()
+        at = 0
+        while at < len(words):
+            block = []
+            for word in words[at : at + BLOCK]:
+                if len(word) >= SHORT:
+                    break
+                block.append(MARK + word.replace(" ", MARK))
+            if not block:
+                symbols = self.join_long(MARK + words[at].replace(" ", MARK))
+                flat += [x for s in symbols for x in ([self.id[s]] if s in self.id else self.bytes_of(s))]
+                ends.append(len(flat))
+                if not self.plain.issuperset(flat[ends[-2] if at else 0 :]):
+                    odd.add(at)
+                at += 1
+                continue
+            symbols, places = self.join_rows(block)
+            rows, ids = places[:, 0], symbols
+            unknown = np.flatnonzero(symbols == self.none)
+            if len(unknown):
+                odd.update((at + np.unique(rows[unknown])).tolist())
+                spelled = [self.bytes_of(block[r][c]) for r, c in places[unknown].tolist()]
+                counts = np.ones(len(symbols), np.int64)
+                counts[unknown] = [len(x) for x in spelled]
+                first = np.cumsum(counts) - counts
+                rows, ids = np.repeat(rows, counts), np.repeat(symbols, counts)
+                for k, x in zip(first[unknown].tolist(), spelled, strict=True):
+                    ids[k : k + len(x)] = x
+            ends += (len(flat) + np.searchsorted(rows, np.arange(1, len(block) + 1))).tolist()
+            flat += ids.tolist()
+            at += len(block)
+        return flat, ends, odd
+
+    def bytes_of(self, symbol: str) -> list[int]:
+        return [self.byte[b] for b in symbol.encode("utf-8")]
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for word in self.marked(text or "") for i in self.encode_word(word)]
+        return self.encode_words(self.split(text))[0]
 
     def spell(self, ids: list[int]) -> str:
         """Decoded text with its leading space still on."""
@@ -147,36 +222,76 @@ class Pieces:
         return self.spell(ids).removeprefix(" ")
 
 
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> Pieces:
+    """One per worker."""
+    return Pieces(path)
+
+
 class CheckedWords:
-    """Encodes the words of a batch once each and holds new ones against the library."""
-
-    def __init__(self, pieces: Pieces):
-        self.pieces, self.new = pieces, []
-        self.cache = TwoGenerations(self.compute, half=500_000)
-
-    def compute(self, word: str) -> tuple[int, str, str]:
-        ids = self.pieces.encode_word(word)
-        text = self.pieces.spell(ids)
-        self.new.append((word, ids, text))
-        decimal = self.pieces.decimal
-        return len(ids), ",".join([decimal[i] for i in ids]), text
-
-    def check(self) -> None:
-        """Raises if the library encodes or decodes a new word otherwise. A word is a text of its own
-        for the library, which adds the mark; a single mark (a space at the end) stands after a letter.
-        Decoding is compared where it is more than joining pieces: with byte pieces."""
-        texts, ids, bytewise, decoded = [], [], [], []
-        for word, own, text in self.new:
-            before = [] if word != MARK else self.pieces.encode_word(f"{MARK}a")
-            texts.append((f"a{word}" if before else word[1:]).replace(MARK, " "))
-            ids.append(before + own)
-            if not self.pieces.plain.issuperset(own):
-                bytewise.append(ids[-1])
-                decoded.append(f"a{text}" if before else text[1:])
-        library = self.pieces.library
-        if texts and (library.encode(texts, num_threads=1) != ids or bytewise and library.decode(bytewise, num_threads=1) != decoded):
-            raise RuntimeError("the sentencepiece library encodes or decodes a word of this batch differently")
-        self.new.clear()
+    """The ids of words, and their decoded texts, both held against the library before use. Words
+    are kept in two generations of ``half`` each: when the young one is full it becomes the old one,
+    and words still in use move back."""
+
+    def __init__(self, pieces: Pieces, half: int = 400_000):
+        self.pieces, self.half = pieces, half
+        self.ids: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        #: Decoded texts of words that decode to something else than themselves.
+        self.changed: dict[str, str] = {}
+
+    def learn(self, lists: list[list[str]]) -> None:
+        """Afterwards ``ids`` has all these words."""
+        if len(self.ids) > self.half:
+            self.old, self.ids = self.ids, {}
+            if len(self.changed) > self.half:
+                self.old, self.changed = {}, {}
+        missing = set(chain.from_iterable(lists)).difference(self.ids)
+        old = self.old
+        self.ids |= {w: old[w] for w in missing if w in old}
+        new = sorted((w for w in missing if w not in old), key=len)
+        flat, ends, odd = self.pieces.encode_words(new)
+        decimal, spelled = ([names[i] for i in flat] for names in (self.pieces.decimal, self.pieces.spelled))
+        ids, texts, start = [], [], 0
+        for n, end in enumerate(ends):
+            ids.append(",".join(decimal[start:end]))
+            texts.append("".join(spelled[start:end]) if n not in odd else self.pieces.spell(flat[start:end]))
+            start = end
+        for n, theirs in self.differing(new, flat, ends, texts).items():
+            ids[n], texts[n] = theirs
+        self.ids.update(zip(new, ids, strict=True))
+        self.changed.update((word, text[1:]) for word, text in zip(new, texts, strict=True) if text[1:] != word)
+
+    def differing(self, words: list[str], flat: list[int], ends: list[int], texts: list[str]) -> dict[int, tuple[str, str]]:
+        """Ids and decoded text by the library for words (by place) where it has others. It takes
+        many words as one text; words of nothing but spaces, which would become part of the next
+        word, are texts of their own, behind a letter. Where a text differs, its words are looked
+        at one by one."""
+        library, whole = self.pieces.library, self.pieces.whole
+        lone = [n for n, w in enumerate(words) if whole or not w.strip(" ")]
+        joint = range(len(words))
+        if lone:
+            joint = sorted(set(joint).difference(lone))
+        starts = [0, *ends]
+        for at in range(0, len(joint), TOGETHER):
+            part = joint[at : at + TOGETHER]
+            own = flat[starts[part[0]] : ends[part[-1]]] if not lone else [i for n in part for i in flat[starts[n] : ends[n]]]
+            if library.encode(" ".join([words[n] for n in part]), num_threads=1) != own or library.decode(own) != "".join([texts[n] for n in part])[1:]:
+                lone += part
+        out = {}
+        for n in lone:
+            before = "" if whole or words[n].strip(" ") else "a "
+            skip = library.encode(before[:1])
+            ids = library.encode(before + words[n])
+            text = library.decode(ids)
+            ids, text = ids[len(skip) :], text[1:] if before else f" {text}"
+            if ids != flat[starts[n] : ends[n]] or text != texts[n]:
+                out[n] = ",".join(map(str, ids)), text
+        return out
+
+    def decoded(self, words: list[str]) -> str:
+        changed = self.changed
+        return " ".join([changed.get(w, w) for w in words] if changed else words)
 
 
 def encode_documents(docs: DataFrame, model: str, keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
@@ -185,34 +300,29 @@ def encode_documents(docs: DataFrame, model: str, keep: list[str] | None = None,
     Returns the columns ``keep`` (default ``doc_id``), ``n_tokens``, ``ids_sha256``,
     ``decoded_sha256`` and, if ``with_ids``, ``ids`` (array of int) and ``decoded``. Null and
     empty texts have no tokens and decode to an empty text. Repeated rows stay repeated; other
-    columns of ``docs``, whatever their names, are left out unless listed in ``keep``. ``model`` is
+    columns of ``docs``, whatever their names, are left out unless listed in ``keep``; a kept column
+    with the name of a result is left out. Where the library has other ids or texts than the
+    agenda, the library's are returned. ``model`` is
     a path that every executor can read. Narrow: one pass, no shuffle; memory is one batch, its
-    longest text and a cache of at most 1,000,000 words (about 400 MB).
+    longest text and a cache of at most 800,000 words and a batch (about 170 MB).
     """
-    keep = ["doc_id"] if keep is None else keep
-    types = dict(docs.dtypes)
+    made = [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")] + ([("ids", "array<int>"), ("decoded", "string")] if with_ids else [])
 
     def make():
-        gc.set_threshold(500_000)  # the cache is many small objects without cycles; walking them often costs a quarter of the time
-        pieces = Pieces(model)
+        pieces, sha = vocabulary(model), hashlib.sha256
         words = CheckedWords(pieces)
-        cache, sha = words.cache, hashlib.sha256
 
-        def work(rows):
+        def work(texts):
             out = []
-            for row in rows:
-                found = [cache[w] for w in pieces.marked(row[-1] or "")]
-                ids, text = ",".join([x[1] for x in found]), "".join([x[2] for x in found])[1:]
-                made = (sum([x[0] for x in found]), sha(ids.encode()).hexdigest(), sha(text.encode()).hexdigest())
-                if with_ids:
-                    made += ([int(i) for i in ids.split(",")] if ids else [], text)
-                out.append(row[:-1] + made)
-            words.check()
+            lists = [pieces.split(text) for text in texts]
+            words.learn(lists)
+            cache = words.ids
+            for own in lists:
+                ids, text = ",".join([cache[w] for w in own]), words.decoded(own)
+                found = (ids.count(",") + 1 if own else 0, sha(ids.encode()).hexdigest(), sha(text.encode()).hexdigest())
+                out.append((*found, [int(i) for i in ids.split(",")] if ids else [], text) if with_ids else found)
             return out
 
         return work
 
-    fields = [(f"k{i}", types[k]) for i, k in enumerate(keep)] + [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
-    fields += [("ids", "array<int>"), ("decoded", "string")] if with_ids else []
-    done = map_rows(docs.select(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)), "text"), make, fields)
-    return done.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), *(n for n, _ in fields[len(keep) :]))
+    return extend_rows(docs, ["doc_id"] if keep is None else keep, make, made)
