@@ -3,20 +3,26 @@
 The statistics of every document are transformed and, per language and source, compared with a
 minimum-covariance-determinant estimate of their centre and scatter. The estimate is made by
 concentration steps over *all* rows of a group: distances under the current estimate, their
-median per group, then mean and covariance of the nearer half. Every step is one distributed
-aggregation of sums over all groups at once, so one group may hold any share of the rows.
+median per group, then mean and covariance of the nearer half, from several starts; the smallest
+determinant counts. Every step is one distributed aggregation of sums over all groups and starts
+at once, so one group may hold any share of the rows.
+
+Groups of any size are judged alike: a group's sums count together with PRIOR rows like its
+language's, and the language's with PRIOR rows like those of all languages. A large group stands
+for itself, a single row is judged by its language, and what is between is weighed.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.batches import map_rows
-from tideline.storage import materialize
+from tideline.llm.batches import extend_rows, map_rows
+from tideline.storage import materialize, scratch
 
 SYMBOLS = "#*$%&|<>"
 BASE = ["word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -27,13 +33,14 @@ VECTOR = ["z_words", "z_length", "z_symbols", "z_lines", "z_repeats"]
 #: a count in 50 words, 1/4 / 50; lines and repeated words come in larger steps.
 FLOORS = (0.005, 0.005, 0.005, 0.1, 0.02)
 #: Two statistics vary in the nearer half: squared distances are scaled to the median of chi-square
-#: with 2 degrees of freedom. The cutoff is its quantile at 1 - 1e-6, 27.6: texts have long tails.
+#: with 2 degrees of freedom. The cutoff is its quantile at 1 - 1e-7, 32.2: texts have long tails.
 CHI2_MEDIAN = 2 * math.log(2)
-CUTOFF = -2 * math.log(1e-6)
-#: Rows that an estimate needs: their half must be more than the statistics.
-LEAST = 2 * (len(VECTOR) + 1)
-#: The fit of rows that are too few by language and source and by language.
-REST = "\x03"
+CUTOFF = -2 * math.log(1e-7)
+#: Rows like the parent's that count beside a group's own.
+PRIOR = 64.0
+#: Steps from all starts, then from the best one of each group until no log determinant moves by
+#: more than STABLE, but at most so many steps.
+FIRST_STEPS, MOST_STEPS, STABLE = 2, 7, 0.01
 
 
 def statistics(text: str | None) -> tuple[int, int, int, int, int]:
@@ -71,10 +78,7 @@ def statistics(text: str | None) -> tuple[int, int, int, int, int]:
 
 def text_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` and the five base statistics of every whole ``text``; null texts have none (0)."""
-    types = dict(docs.dtypes)
-    fields = [(f"k{i}", types[k]) for i, k in enumerate(keep)] + [(n, "bigint") for n in ["n_words", *BASE]]
-    done = map_rows(docs.select(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)), "text"), lambda: lambda rows: [row[:-1] + statistics(row[-1]) for row in rows], fields)
-    return done.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), "n_words", *BASE)
+    return extend_rows(docs, keep, lambda: lambda texts: [statistics(text) for text in texts], [(n, "bigint") for n in ["n_words", *BASE]])
 
 
 def base_failed() -> Column:
@@ -92,87 +96,119 @@ def transformed() -> list[Column]:
     ]
 
 
-def _sums(p: int) -> list[Column]:
-    z = [F.col(c) for c in VECTOR]
-    return [F.count(F.lit(1)).alias("n"), *(F.sum(z[i]).alias(f"s{i}") for i in range(p)), *(F.sum(z[i] * z[j]).alias(f"q{i}_{j}") for i in range(p) for j in range(i, p))]
+PAIRS = [(i, j) for i in range(len(VECTOR)) for j in range(i, len(VECTOR))]
+SUMS = [*(f"s{i}" for i in range(len(VECTOR))), *(f"q{i}_{j}" for i, j in PAIRS)]
+MEDIANS = [f"c{i}" for i in range(len(VECTOR))]
 
 
-def _inverse(rows: DataFrame, scaled: bool) -> DataFrame:
-    """Centre and inverse scatter of every group from its sums; one small row a group, batched
-    through numpy on the executors."""
+def _sums() -> list[Column]:
+    z = [F.col(c) for c in VECTOR]
+    return [F.count(F.lit(1)).cast("double").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(z)), *(F.sum(z[i] * z[j]).alias(f"q{i}_{j}") for i, j in PAIRS)]
+
+
+def with_prior(sums: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Sums per ``fit, parent, grand, start`` with PRIOR rows like the parent's added, which have their
+    own PRIOR rows like the grandparent's. ``parent`` and ``grand`` are null where there is none."""
+    names = ["n", *SUMS, *(c for c in MEDIANS if c in sums.columns)]
+    above = sums.select("fit", "start", *names)
+    up, top = (near(above.select(*(F.col(c).alias(f"{c}_{x}") for c in above.columns))) for x in ("u", "t"))
+    both = sums.join(up, (F.col("parent") == F.col("fit_u")) & (F.col("start") == F.col("start_u")), "left")
+    both = both.join(top, (F.col("grand") == F.col("fit_t")) & (F.col("start") == F.col("start_t")), "left")
+
+    def mean(c: str) -> Column:  # of the parent with its own prior
+        if c in MEDIANS:
+            return F.col(f"{c}_u")
+        top_mean = F.when(F.col("n_t") > 0, F.col(f"{c}_t") / F.col("n_t"))
+        return F.coalesce((F.col(f"{c}_u") + PRIOR * top_mean) / (F.col("n_u") + PRIOR), F.col(f"{c}_u") / F.col("n_u"))
+
+    grown = {c: F.coalesce(F.col(c) + PRIOR * mean(c), F.col(c)) for c in SUMS}
+    grown |= {c: F.coalesce((F.col("n") * F.col(c) + PRIOR * mean(c)) / (F.col("n") + PRIOR), F.col(c)) for c in MEDIANS if c in names}
+    total = F.when(F.col("n_u").isNotNull(), F.col("n") + PRIOR).otherwise(F.col("n"))
+    return both.select("fit", "parent", "grand", "start", total.alias("n"), *(x.alias(c) for c, x in grown.items()))
+
+
+def estimates(rows: DataFrame, first: bool) -> DataFrame:
+    """Centre, inverse scatter and log determinant of every ``fit`` and ``start`` from its sums; one
+    small row each, batched through numpy on the executors. For the ``first`` ones the starts
+    differ: mean and variances, mean and covariance, medians and variances."""
     p = len(VECTOR)
 
     def work(batch):
         out = []
-        for key, n, *v in batch:
+        for fit, parent, grand, start, n, *v in batch:
             mean = np.array(v[:p]) / n
             cov = np.zeros((p, p))
-            cov[np.triu_indices(p)] = np.array(v[p:]) / n
+            cov[np.triu_indices(p)] = np.array(v[p : p + len(PAIRS)]) / n
             cov = np.triu(cov) + np.triu(cov, 1).T - np.outer(mean, mean)
-            cov = (np.diag(np.diag(cov)) if scaled else cov) + np.diag(FLOORS)
+            if first and start != 1:
+                cov = np.diag(np.diag(cov))
+            if first and start == 2:
+                mean = np.array(v[p + len(PAIRS) :])
+            cov = cov + np.diag(FLOORS)
             inverse = np.linalg.inv(cov)
-            out.append((key, *mean.tolist(), *inverse[np.triu_indices(p)].tolist()))
+            out.append((fit, parent, grand, start, float(np.linalg.slogdet(cov)[1]), *mean.tolist(), *inverse[np.triu_indices(p)].tolist()))
         return out
 
-    fields = [("fit", "string")] + [(f"m{i}", "double") for i in range(p)] + [(f"w{i}_{j}", "double") for i in range(p) for j in range(i, p)]
-    return map_rows(rows, lambda: work, fields)
+    fields = [("fit", "string"), ("parent", "string"), ("grand", "string"), ("start", "int"), ("logdet", "double")]
+    return map_rows(rows, lambda: work, fields + [(f"m{i}", "double") for i in range(p)] + [(f"w{i}_{j}", "double") for i, j in PAIRS])
+
+
+def _distance() -> Column:
+    d = [F.col(c) - F.col(f"m{i}") for i, c in enumerate(VECTOR)]
+    return sum(((1 if i == j else 2) * F.col(f"w{i}_{j}") * d[i] * d[j] for i, j in PAIRS), F.lit(0.0))
 
 
-def _distance(p: int) -> Column:
-    d = [F.col(VECTOR[i]) - F.col(f"m{i}") for i in range(p)]
-    return sum(((1 if i == j else 2) * F.col(f"w{i}_{j}") * d[i] * d[j] for i in range(p) for j in range(i, p)), F.lit(0.0))
+def _named(c: Column) -> Column:
+    """A value of any kind, null included, as a part of a name that no other value gives."""
+    return F.concat(F.coalesce(F.char_length(c).cast("string"), F.lit("n")), F.lit(":"), F.coalesce(c, F.lit("")))
 
 
-def robust_outliers(docs: DataFrame, min_rows: int = 200, steps: int = 4, cutoff: float = CUTOFF, groups_in_memory: int = 20_000) -> DataFrame:
+def robust_outliers(docs: DataFrame, cutoff: float = CUTOFF, groups_in_memory: int = 20_000) -> DataFrame:
     """Judge every row of ``docs`` (``doc_id, text, lang, source``).
 
     Returns ``doc_id``, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
-    ``n_repeat_words``, ``base_failed``, ``kept`` and ``distance`` (null where there is no
-    estimate). A row is fitted with its language and source if these have at least ``min_rows``
-    rows that pass the base rules, else with all such rows of its language, else with all rows
-    left over; if these are too few, they are judged by an estimate over all rows that pass. Only
-    where fewer than LEAST rows pass at all there is no estimate, and rows that pass are kept.
-    Null lang or source is a value of its own. Null and empty texts have no words and fail the base rules. Repeated rows count as often as
-    they occur. Other columns are ignored. The fits are broadcast below ``groups_in_memory``
+    ``n_repeat_words``, ``base_failed``, ``kept`` and ``distance`` (null for rows of groups in which no
+    row passes the base rules). Every row is judged with its language and source, whatever their size
+    (see PRIOR); only rows that pass the base rules make the estimates.
+    Null lang or source is a value of its own. Null and empty texts have no words and fail the base
+    rules. Repeated rows count as often as they occur; a distance at the cutoff is kept. Other
+    columns are ignored. The estimates are broadcast below ``groups_in_memory``
     groups (their number is counted first), and joined by shuffle beyond that.
     """
-    p = len(VECTOR)
-    stats = materialize(text_statistics(docs, ["doc_id", "lang", "source"]).withColumn("base_failed", base_failed()).select("*", *transformed()), "quality-stats")
-    lang, source = F.coalesce(F.col("lang"), F.lit("\x00")), F.coalesce(F.col("source"), F.lit("\x00"))
-    stats = stats.withColumn("both", F.concat_ws("\x01", lang, source)).withColumn("only", F.concat_ws("\x01", lang, F.lit("\x02")))
-    good = stats.where(~F.col("base_failed"))
-    sizes = materialize(good.groupBy("both", "only").count().withColumn("own", F.col("count") >= min_rows), "quality-sizes")
-    rest = sizes.where("not own").groupBy("only").agg(F.sum("count").alias("left"))
-    names = sizes.join(rest, "only", "left").select("both", F.when(F.col("own"), F.col("both")).when(F.col("left") >= min_rows, F.col("only")).otherwise(F.lit(REST)).alias("fit"))
-    names = materialize(names, "quality-names")
-    small = names.count() <= groups_in_memory
-    left = sizes.join(names.where(F.col("fit") == REST), "both").agg(F.sum("count")).first()[0] or 0
-    near = F.broadcast if small else (lambda x: x)
-    # rows whose group has no row that passes have no fit of their own: they are not judged by distance
-    rows = materialize(stats.join(near(names), "both", "left").drop("both", "only", "lang", "source"), "quality-rows")
-    good = rows.where(~F.col("base_failed"))
-    if 0 < left < min_rows:  # too few for an estimate of their own: all rows make theirs
-        good = good.where(F.col("fit") != REST).unionByName(good.withColumn("fit", F.lit(REST)))
-    fit = _inverse(good.groupBy("fit").agg(*_sums(p)).select("fit", "n", *_names(p)), True)
-    fit = materialize(fit, "quality-fit")
-    for step in range(steps):
-        measured = good.join(near(fit), "fit").withColumn("distance", _distance(p))
-        middle = measured.groupBy("fit").agg(F.percentile_approx("distance", 0.5, 2000).alias("middle"))
-        middle = materialize(middle, f"quality-middle{step}")
-        half = measured.join(near(middle), "fit").where(F.col("distance") <= F.col("middle"))
-        fit = materialize(_inverse(half.groupBy("fit").agg(*_sums(p)).select("fit", "n", *_names(p)), False), f"quality-fit{step}")
-    measured = good.join(near(fit), "fit").withColumn("distance", _distance(p))
-    middle = materialize(measured.groupBy("fit").agg(F.percentile_approx("distance", 0.5, 2000).alias("middle"), F.count(F.lit(1)).alias("fitted")), "quality-scale")
-    scale = F.greatest(F.col("middle"), F.lit(0.05)) / CHI2_MEDIAN
-    judged = rows.join(near(fit), "fit", "left").join(near(middle), "fit", "left").withColumn("distance", F.when(F.col("fitted") >= LEAST, _distance(p) / scale))
-    kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= cutoff))
+    with scratch(docs.sparkSession) as keep:
+        stats = text_statistics(docs, ["doc_id", "lang", "source"]).withColumn("base_failed", base_failed())
+        lang, both = _named(F.col("lang")), F.concat(_named(F.col("lang")), _named(F.col("source")))
+        rows = keep(materialize(stats.select("doc_id", "n_words", *BASE, "base_failed", *transformed(), both.alias("own"), lang.alias("of")), "quality-rows"))
+        levels = F.array(*(F.struct(fit.alias("fit"), parent.alias("parent"), grand.alias("grand")) for fit, parent, grand in (
+            (F.col("own"), F.col("of"), F.lit("all")), (F.col("of"), F.lit("all"), F.lit(None).cast("string")), (F.lit("all"), F.lit(None).cast("string"), F.lit(None).cast("string")))))
+        good = rows.where(~F.col("base_failed")).select(*VECTOR, F.explode(levels).alias("level")).select(*VECTOR, "level.*")
+        medians = [F.percentile_approx(c, 0.5, 2000).alias(m) for c, m in zip(VECTOR, MEDIANS, strict=True)]
+        begin = good.groupBy("fit", "parent", "grand").agg(*_sums(), *medians)
+        begin = materialize(begin.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))), "quality-begin")
+        small = begin.count() <= 3 * groups_in_memory
+        near = F.broadcast if small else (lambda x: x)
+        order = ["fit", "parent", "grand", "start", "n", *SUMS]
+        fit = materialize(estimates(with_prior(begin, near).select(*order, *MEDIANS), True), "quality-fit")
+        plain = good.select(*VECTOR, "fit")
+        for step in range(MOST_STEPS):
+            measured = plain.join(near(fit), "fit").withColumn("distance", _distance())
+            middle = materialize(measured.groupBy("fit", "start").agg(F.percentile_approx("distance", 0.5, 2000).alias("middle")), f"quality-middle{step}")
+            half = measured.join(near(middle), ["fit", "start"]).where(F.col("distance") <= F.col("middle"))
+            sums = materialize(half.groupBy("fit", "parent", "grand", "start").agg(*_sums()), f"quality-sums{step}")
+            before, fit = fit, materialize(estimates(with_prior(sums, near).select(*order), False), f"quality-fit{step}")
+            if step == FIRST_STEPS - 1:
+                best = fit.groupBy("fit").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
+                fit = materialize(fit.join(best, ["fit", "start"]).withColumn("start", F.lit(0)), "quality-best")
+            elif step >= FIRST_STEPS:
+                was = near(before.select("fit", F.col("logdet").alias("was")))
+                if fit.join(was, "fit").where(F.abs(F.col("logdet") - F.col("was")) > STABLE).isEmpty():
+                    break
+        middle = plain.join(near(fit), "fit").withColumn("distance", _distance()).groupBy("fit", "parent", "grand").agg(F.count(F.lit(1)).alias("n"), F.log(F.greatest(F.percentile_approx("distance", 0.5, 2000), F.lit(0.05))).alias("log"))
+        middle = materialize(middle, "quality-scale")
+        up, top = (near(middle.select(F.col("fit").alias(f"fit_{x}"), F.col("n").alias(f"n_{x}"), F.col("log").alias(f"log_{x}"))) for x in ("u", "t"))
+        above = (F.col("n_u") * F.col("log_u") + PRIOR * F.col("log_t")) / (F.col("n_u") + PRIOR)
+        scale = middle.join(up, F.col("parent") == F.col("fit_u")).join(top, F.col("grand") == F.col("fit_t")).select("fit", F.exp((F.col("n") * F.col("log") + PRIOR * above) / (F.col("n") + PRIOR)).alias("scale"))
+        judges = keep(materialize(fit.drop("start", "parent", "grand", "logdet").join(scale, "fit").withColumnRenamed("fit", "own"), "quality-judges"))
+    judged = rows.join(near(judges), "own", "left").withColumn("distance", _distance() / F.col("scale") * CHI2_MEDIAN)
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return judged.select("doc_id", "n_words", *BASE, "base_failed", kept.alias("kept"), "distance")
-
-
-def _names(p: int) -> list[str]:
-    return [*(f"s{i}" for i in range(p)), *(f"q{i}_{j}" for i in range(p) for j in range(i, p))]
-
-
-def chi_square_tail(cutoff: float) -> float:
-    """Share of a 2-dimensional normal law beyond the cutoff, for documentation and tests."""
-    return math.exp(-cutoff / 2)
