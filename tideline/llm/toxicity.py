@@ -17,7 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.batches import TwoGenerations, held_out, map_rows
+from tideline.llm.batches import TwoGenerations, extend_rows, held_out
+from tideline.storage import materialize, scratch
 
 WORD = re.compile(r"\w+")
 SHORTEST, LONGEST = 3, 6
@@ -33,12 +34,12 @@ class Subwords:
     def __init__(self, buckets: int = 1 << 16, dims: int = 12, window: int = 4, seed: int = 3):
         rng = np.random.default_rng(seed)
         self.buckets, self.dims, self.window, self.seed = buckets, dims, window, seed
-        self.vectors = (rng.standard_normal((buckets, dims)) * 0.1).astype(np.float32)
+        self.vectors = np.zeros((buckets, dims), np.float32)  # an n-gram that no gradient reaches says nothing
         self.weights = (rng.standard_normal((dims, 2)) * 0.1).astype(np.float32)
         self.bias = np.zeros(2, np.float32)
 
     def parts(self, word: str) -> list[int]:
-        """Buckets of the word's n-grams, with marks at both ends, and of the word itself."""
+        """Buckets of the word's n-grams, with marks at both ends; of the whole word if it has none."""
         w, mask, crc = f"<{word}>", self.buckets - 1, zlib.crc32
         size = len(w)
         if w.isascii():  # characters are bytes
@@ -71,9 +72,11 @@ class Subwords:
             best = float((total[self.window :] - total[: -self.window]).max()) / self.window + bias
         return float(1 / (1 + np.exp(-np.clip(best, -30, 30))))
 
-    def fit(self, rows: list[tuple[str, int]], epochs: int = 6, batch: int = 64, rate: float = 0.5, balance: float = 0.7) -> Subwords:
+    def fit(self, rows: list[tuple[str, int]], updates: int = 560, batch: int = 64, rate: float = 0.5, balance: float = 0.7) -> Subwords:
         """Adagrad over documents; rows are (text, 0 or 1). Classes are weighted
-        by their inverse frequency to the power ``balance``."""
+        by their inverse frequency to the power ``balance``. Small sets are gone through more often, so
+        that there are about ``updates`` steps, at least 6 and at most 30 times."""
+        epochs = min(30, max(6, -(-updates * batch // max(1, len(rows)))))
         number: dict[str, int] = {}
         texts = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int64) for t, _ in rows]
         labels = np.array([y for _, y in rows], np.int64)
@@ -144,24 +147,34 @@ class Subwords:
         return flat[np.repeat(first[words] - starts, lengths) + np.arange(lengths.sum())], starts
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, most_per_class: int = 3000, seed: int = 5) -> list[tuple[str, int]]:
-    """A bounded sample to learn from: at most ``most_per_class`` documents of each label, those
-    with the smallest hash of their id, none of them held out, without null label or text."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id", F.lit(seed)).alias("h"))
-    chosen = {}
-    for label in (0, 1):
-        chosen |= {r.doc_id: label for r in known.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(most_per_class).collect()}
-    if not chosen:
-        return []
-    ids = docs.sparkSession.createDataFrame(list(chosen.items()), "doc_id long, toxic int")
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    return sorted((r.text, r.toxic) for r in rows.select("text", "toxic").collect())
-
-
-def learn_toxicity(docs: DataFrame, labels: DataFrame, most_per_class: int = 3000) -> Subwords:
+def labelled_rows(docs: DataFrame, labels: DataFrame, most_per_class: int = 3000, most_bytes: int = 64 << 20, seed: int = 5) -> list[tuple[str, int]]:
+    """A bounded sample to learn from: at most ``most_per_class`` documents and ``most_bytes`` / 2 bytes of
+    text of each label, those with the smallest hash of their id; texts that are too long for
+    what is left of the bytes are passed over. None of them is held out or has a null label or text. An id
+    with both labels counts as toxic; of several texts of an id the first in order stands for it."""
+    spark = docs.sparkSession
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
+    ids = known.where("toxic = 0").orderBy("h", "doc_id").limit(most_per_class).unionByName(known.where("toxic = 1").orderBy("h", "doc_id").limit(most_per_class))
+    with scratch(spark):
+        ids = materialize(ids, "toxicity-ids")
+        own = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+        own = materialize(own.groupBy("doc_id", "toxic", "h").agg(F.min("text").alias("text")), "toxicity-texts")
+        left, chosen = {0: most_bytes // 2, 1: most_bytes // 2}, []
+        for r in own.select("toxic", "h", "doc_id", F.octet_length("text").alias("size")).orderBy("h", "doc_id").toLocalIterator():
+            if r.size <= left[r.toxic]:
+                left[r.toxic] -= r.size
+                chosen.append((r.doc_id,))
+        if not chosen:
+            return []
+        picked = spark.createDataFrame(chosen, own.select("doc_id").schema)
+        return sorted((r.text, r.toxic) for r in own.join(F.broadcast(picked), "doc_id", "left_semi").select("text", "toxic").collect())
+
+
+def learn_toxicity(docs: DataFrame, labels: DataFrame, most_per_class: int = 3000, most_bytes: int = 64 << 20) -> Subwords:
     """A model from the bounded sample of ``labelled_rows``; without both labels it is untrained
     and gives every text about one half or less."""
-    return Subwords().fit(labelled_rows(docs, labels, most_per_class))
+    return Subwords().fit(labelled_rows(docs, labels, most_per_class, most_bytes))
 
 
 def score_toxicity(docs: DataFrame, model: Subwords, keep: list[str] | None = None) -> DataFrame:
@@ -169,19 +182,11 @@ def score_toxicity(docs: DataFrame, model: Subwords, keep: list[str] | None = No
     ``predicted`` (1 if the score is at least 0.5). Null and empty texts get the bias's score.
     Repeated rows stay repeated; columns not in ``keep`` are ignored. The model (buckets x dims
     floats, 3 MB) is broadcast; no shuffle; memory is a batch and a bounded cache of words."""
-    keep = ["doc_id"] if keep is None else keep
-    types = dict(docs.dtypes)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         m = sent.value
         cache = TwoGenerations(m.margins(), half=500_000)
+        return lambda texts: [(s, int(s >= 0.5)) for s in (m.probability([cache[w] for w in words_of(text)]) for text in texts)]
 
-        def work(rows):
-            return [row[:-1] + (s, int(s >= 0.5)) for row, s in ((row, m.probability([cache[w] for w in words_of(row[-1])])) for row in rows)]
-
-        return work
-
-    fields = [(f"k{i}", types[k]) for i, k in enumerate(keep)] + [("score", "double"), ("predicted", "int")]
-    done = map_rows(docs.select(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)), F.col("text")), make, fields)
-    return done.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), "score", "predicted")
+    return extend_rows(docs, ["doc_id"] if keep is None else keep, make, [("score", "double"), ("predicted", "int")])
