@@ -5,6 +5,10 @@ overlap, and turned into log energies of a mel filterbank; hysteresis on the fra
 (open above one threshold, stay open above a lower one) gives the active segments. Features are
 fixed-shape tensors, ``frames x mels``, each with its time span; ``tensor_table`` types them as
 Arrow's fixed-shape tensors.
+
+Everything is fixed-point: filters, window, transform and filterbank are tables of integers, and
+all sums stay below 2**53, where float64 holds integers exactly. Features therefore do not
+depend on the order in which a CPU's linear algebra adds.
 """
 
 from __future__ import annotations
@@ -19,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tideline.llm.batches import map_rows
-from tideline.storage import materialize
+from tideline.storage import materialize, scratch
 
 #: Input and feature rates, the FFT's length, the step between frames, filters, frames a tensor.
 RATE, UP, DOWN = 8000, 3, 8
 FFT, STEP, MELS, FRAMES = 128, 64, 16, 32
 #: Opens a segment, keeps it open: times the median frame energy of the recording.
 OPEN, STAY = 1.25, 0.9
+#: Steps of a logarithm to the base 2; exact as a float.
+OCTAVE = 64
 BLOCK = 192
 
 
@@ -51,50 +57,72 @@ def decode_wav(media: bytes) -> bytes:
 
 @cache
 def lowpass(taps_per_phase: int = 4) -> np.ndarray:
-    """Windowed-sinc low-pass filter, split into UP phases of equal length."""
+    """Windowed-sinc low-pass filter in steps of 2**-12, split into UP phases of equal length."""
     n = taps_per_phase * UP * DOWN
     t = np.arange(n) - (n - 1) / 2
     h = np.sinc(t / max(UP, DOWN)) * np.hamming(n)
-    return (h / h.sum() * UP).astype(np.float32).reshape(-1, UP).T[:, ::-1].copy()
+    return np.round(h / h.sum() * UP * 4096).reshape(-1, UP).T[:, ::-1].copy()
 
 
 def resample(x: np.ndarray) -> np.ndarray:
-    """x at UP/DOWN times its rate: only the outputs that are kept are computed."""
+    """Whole numbers x at UP/DOWN times its rate, 64 times as large: only the outputs that are kept
+    are computed."""
     phases = lowpass()
     width = phases.shape[1]
-    padded = np.concatenate([np.zeros(width // 2, np.float32), x, np.zeros(width, np.float32)])
+    padded = np.concatenate([np.zeros(width // 2), x, np.zeros(width)])
     view = np.lib.stride_tricks.sliding_window_view(padded, width)
     n = len(x) * UP // DOWN
-    out = np.empty(n, np.float32)
+    out = np.empty(n)
     for p in range(UP):
         k = np.arange(p, n, UP)
         phase, start = p * DOWN % UP, k * DOWN // UP
-        out[p::UP] = view[start] @ phases[phase]
+        out[p::UP] = np.floor(view[start] @ phases[phase] / 64)
     return out
 
 
 @cache
 def filterbank() -> np.ndarray:
-    """Triangular filters evenly spaced in mel, over the FFT's bins."""
+    """Triangular filters evenly spaced in mel, over the FFT's bins, in steps of 2**-8."""
     rate = RATE * UP / DOWN
     mel = np.linspace(0, 2595 * np.log10(1 + rate / 2 / 700), MELS + 2)
     edges = 700 * (10 ** (mel / 2595) - 1)
     bins = np.linspace(0, rate / 2, FFT // 2 + 1)
     rise = (bins[None] - edges[:-2, None]) / np.diff(edges)[:-1, None]
     fall = (edges[2:, None] - bins[None]) / np.diff(edges)[1:, None]
-    return np.maximum(0, np.minimum(rise, fall)).T.astype(np.float32)
+    return np.round(np.maximum(0, np.minimum(rise, fall)).T * 256)
+
+
+@cache
+def transform() -> tuple[np.ndarray, np.ndarray]:
+    """The window in steps of 2**-10; cosines and sines of the transform's bins, side by side, in
+    steps of 2**-12."""
+    turn = 2 * np.pi * np.outer(np.arange(FFT), np.arange(FFT // 2 + 1)) / FFT
+    return np.round(np.hanning(FFT) * 1024), np.round(np.hstack([np.cos(turn), np.sin(turn)]) * 4096)
+
+
+@cache
+def log_table() -> np.ndarray:
+    """Logarithms of 1 + i/1024 to the base 2, in steps of 1/OCTAVE."""
+    return np.round(np.log2(1 + np.arange(1024) / 1024) * OCTAVE)
+
+
+def log_steps(x: np.ndarray) -> np.ndarray:
+    """Logarithms of whole numbers from 1 to the base 2, in steps of 1/OCTAVE, by exponent and table."""
+    mantissa, exponent = np.frexp(x)
+    return (exponent - 1) * OCTAVE + log_table()[np.floor((2 * mantissa - 1) * 1024).astype(int)]
 
 
-def log_mel(x: np.ndarray) -> np.ndarray:
-    """frames x MELS; the signal is padded to whole frames, so that its end is in one. In blocks of
-    frames."""
+def mel_energies(x: np.ndarray) -> np.ndarray:
+    """frames x MELS, whole numbers; the signal is padded to whole frames, so that its end is in one.
+    In blocks of frames."""
     x = np.pad(x, (0, FFT - len(x) if len(x) < FFT else -(len(x) - FFT) % STEP))
     frames = np.lib.stride_tricks.sliding_window_view(x, FFT)[::STEP]
-    window = np.hanning(FFT).astype(np.float32)
-    out = np.empty((len(frames), MELS), np.float32)
+    window, turns = transform()
+    out = np.empty((len(frames), MELS))
     for i in range(0, len(frames), 4096):
-        spectrum = np.fft.rfft(frames[i : i + 4096] * window)
-        out[i : i + 4096] = np.log((spectrum.real**2 + spectrum.imag**2).astype(np.float32) @ filterbank() + 1e-6)
+        parts = np.floor(np.floor(frames[i : i + 4096] * window / 1024) @ turns / 16384)
+        power = parts[:, : FFT // 2 + 1] ** 2 + parts[:, FFT // 2 + 1 :] ** 2
+        out[i : i + 4096] = power @ filterbank()
     return out
 
 
@@ -107,16 +135,15 @@ def segments(energy: np.ndarray) -> list[tuple[int, int]]:
 
 
 def features(samples: bytes) -> tuple[np.ndarray, list[tuple[int, int]], list[tuple[float, float]]]:
-    """Tensors (n, FRAMES, MELS), the last one padded with its floor, the active frame spans and
-    the tensors' spans in seconds."""
-    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
-    mel = log_mel(resample(x))
-    spans = segments(np.exp(mel).sum(1))
-    n = -(-len(mel) // FRAMES)
-    padded = np.full((n * FRAMES, MELS), np.float32(np.log(1e-6)), np.float32)
-    padded[: len(mel)] = mel
+    """Tensors (n, FRAMES, MELS) of log2 energies, the last one padded with zeros, the active frame
+    spans and the tensors' spans in seconds."""
+    energy = mel_energies(resample(np.frombuffer(samples, np.uint8).astype(float) - 128))
+    spans = segments(np.floor(energy / 16).sum(1))
+    n = -(-len(energy) // FRAMES)
+    padded = np.zeros((n * FRAMES, MELS), np.float32)
+    padded[: len(energy)] = log_steps(energy + 1) / OCTAVE
     second = STEP * DOWN / UP / RATE
-    times = [(i * FRAMES * second, min((i + 1) * FRAMES, len(mel)) * second) for i in range(n)]
+    times = [(i * FRAMES * second, min((i + 1) * FRAMES, len(energy)) * second) for i in range(n)]
     return padded.reshape(n, FRAMES, MELS), spans, times
 
 
@@ -224,9 +251,9 @@ def stored_tensors(media: DataFrame) -> DataFrame:
 def feature_text(segments: list[list[int]], packed: bytes) -> str:
     """A summary of a row's stored tensors, their time spans and its segments."""
     tensors, times = unpack_tensors(packed)
-    made = hashlib.sha256(np.round(tensors, 2).astype("<f4").tobytes())
+    made = hashlib.sha256((tensors * OCTAVE).astype("<i2").tobytes())
     made.update(repr((times, [tuple(x) for x in segments])).encode())
-    return f"{len(tensors)}x{FRAMES}x{MELS};seconds={times[-1][1]:.3f};segments={len(segments)};mean={float(tensors.mean()):.3f};{made.hexdigest()[:32]}"
+    return f"{len(tensors)}x{FRAMES}x{MELS};seconds={times[-1][1]:.3f};segments={len(segments)};mean={float(tensors.astype(float).sum() / tensors.size):.3f};{made.hexdigest()[:32]}"
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
@@ -235,8 +262,9 @@ def media_digests(docs: DataFrame) -> DataFrame:
     ``media_sha256`` and ``feature``, a summary of its stored tensors, spans and segments. Equal
     texts have equal values; null and empty texts one block of spaces. The WAVE files are stored
     in the shared folder and read back, and so are the tensors made from them. No shuffle."""
-    media = materialize(text_media(docs), "media-wav", "zstd")
-    tensors = materialize(stored_tensors(media), "media-tensors", "zstd")
+    with scratch(docs.sparkSession) as keep:
+        media = materialize(text_media(docs), "media-wav", "zstd")
+        tensors = keep(materialize(stored_tensors(media), "media-tensors", "zstd"))
 
     def make():
         return lambda rows: [(*row[:-2], feature_text(*row[-2:])) for row in rows]
