@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.storage import materialize
+from tideline.storage import materialize, scratch
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: No document is taken more often than this.
@@ -23,9 +23,11 @@ MOST = 3
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``source_key`` (orders as the source's code points, null last) and ``size``."""
+    """``doc_id``, ``source_key`` (orders as the source's code points, null last), ``size`` and
+    ``times``, how many rows are alike in these; combined on the map side."""
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
-    return docs.select("doc_id", key.alias("source_key"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("bigint").alias("size"))
+    rows = docs.select("doc_id", key.alias("source_key"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("bigint").alias("size"))
+    return rows.groupBy("doc_id", "source_key", "size").agg(F.count(F.lit(1)).alias("times"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -36,7 +38,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> Da
     ``min(MOST * size, level * weight)``; the level is found by aggregations over the table of
     sources, which may be large: they are ranked by a range sort with offsets per partition.
     """
-    sources = sizes.groupBy("source_key").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("source_size"))
+    sources = sizes.groupBy("source_key").agg(F.sum("times").alias("docs"), F.sum(F.col("size") * F.col("times")).alias("source_size"))
     ordered = materialize(sources.orderBy("source_key").withColumn("place", F.monotonically_increasing_id()), "mix-sources")
     parts = ordered.groupBy(F.shiftright("place", 33).alias("part")).count().orderBy("part").collect()
     offsets, before = [], 0
@@ -92,13 +94,22 @@ def pivotal(weight: list[int], share: list[float], mark: list[int], seed: int =
     return share
 
 
+def occurrences(group: pd.DataFrame) -> pd.DataFrame:
+    """A row for each of the rows that ``times`` stands for, each with a mark of its own."""
+    place = np.repeat(np.arange(len(group)), group["times"])
+    first = np.cumsum(group["times"]) - group["times"]
+    number = np.arange(len(place)) - first.to_numpy()[place]
+    out = group.iloc[place].reset_index(drop=True)
+    return out.assign(times=np.int64(1), mark=(out["mark"].to_numpy().view(np.uint64) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
+
+
 def round_groups(rows: DataFrame, seed: int, last: bool) -> DataFrame:
     """One level of the tree: ``pivotal`` in every group of ``source_key, bucket``, the largest
     documents first, so that what is left over is small. In the last level a remaining fraction
     is rounded by chance."""
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["size", "mark", "doc_id"], ascending=[False, True, True], kind="stable")
+        group = occurrences(group).sort_values(["size", "mark", "no_id", "id"], ascending=[False, True, True, True], kind="stable")
         share = pivotal(group["size"].tolist(), group["share"].tolist(), group["mark"].tolist(), seed)
         if last:
             share = [s if s in (0.0, 1.0) else float(scatter(m, 1, seed) < s) for s, m in zip(share, group["mark"].tolist(), strict=True)]
@@ -115,31 +126,38 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), leaf: int = 2048,
     source is a source of its own, the last. Each source's taken words differ from the target by
     less than one of its documents. The choice depends on ids, sizes and ``seed`` only, never on
     how the rows are partitioned; repeated rows are taken each on its own. A source of any size is
-    dealt over groups of about ``leaf`` rows by a hash of the id.
+    dealt over groups of about ``leaf`` rows by a hash of the id; rows that are alike are counted
+    first and travel in lots of ``leaf / 8``, so that one id on many rows is no group of its own. Null
+    ids are ids like others.
     """
-    rows = materialize(sized(docs), "mix-sizes")
-    targets = materialize(source_targets(rows, weights), "mix-targets")
-    n_sources = targets.count()
-    near = F.broadcast if n_sources <= 50_000 else (lambda x: x)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    mark = F.xxhash64("doc_id", "size", F.lit(seed))
-    rows = rows.join(near(targets), "source_key").withColumn("ratio", F.least(ratio, F.lit(float(MOST))))
-    rows = rows.select(
-        "doc_id", "source_key", "size", "source_size", "target",
-        F.floor("ratio").cast("int").alias("whole"), (F.col("ratio") - F.floor("ratio")).alias("share"), mark.alias("mark"),
-        F.pmod(F.xxhash64(mark, F.lit(1)), F.ceil(F.col("docs") / leaf).cast("bigint")).alias("bucket"),
-    )
-    most = targets.agg(F.max("docs")).first()[0] or 0
-    levels = 1 + max(0, math.ceil(math.log(max(1, -(-most // leaf)), fan_in)))
-    done = []
-    for level in range(levels):
-        last = level == levels - 1
-        rows = materialize(round_groups(rows, seed + level, last), f"mix-level{level}")
-        fraction = (F.col("share") > 0) & (F.col("share") < 1)
-        done.append(rows.where(~fraction))
-        rows = rows.where(fraction).withColumn("bucket", F.floor(F.col("bucket") / fan_in).cast("bigint"))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
+    spark = docs.sparkSession
+    lot = max(1, leaf // 8)
+    with scratch(spark) as keep:
+        rows = materialize(sized(docs), "mix-sizes")
+        targets = materialize(source_targets(rows, weights), "mix-targets")
+        n_sources = targets.count()
+        near = F.broadcast if n_sources <= 50_000 else (lambda x: x)
+        ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+        rows = rows.join(near(targets), "source_key").withColumn("ratio", F.least(ratio, F.lit(float(MOST))))
+        rows = rows.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("times") - 1) / lot))))
+        mark = F.xxhash64("doc_id", "size", "lot", F.lit(seed))
+        rows = rows.select(
+            F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "source_key", "size", "source_size", "target",
+            F.floor("ratio").cast("int").alias("whole"), (F.col("ratio") - F.floor("ratio")).alias("share"), mark.alias("mark"),
+            F.pmod(F.xxhash64(mark, F.lit(1)), F.ceil(F.col("docs") / leaf).cast("bigint")).alias("bucket"),
+            F.least(F.lit(lot).cast("bigint"), F.col("times") - F.col("lot") * lot).alias("times"),
+        )
+        most = targets.agg(F.max("docs")).first()[0] or 0
+        levels = 1 + max(0, math.ceil(math.log(max(1, -(-most // leaf)), fan_in)))
+        done = []
+        for level in range(levels):
+            last = level == levels - 1
+            rows = keep(materialize(round_groups(rows, seed + level, last), f"mix-level{level}"))
+            fraction = (F.col("share") > 0) & (F.col("share") < 1)
+            done.append(rows.where(~fraction))
+            rows = rows.where(fraction).withColumn("bucket", F.floor(F.col("bucket") / fan_in).cast("bigint"))
+        out = done[0]
+        for more in done[1:]:
+            out = out.unionByName(more)
     copies = F.col("whole") + F.col("share").cast("int")
-    return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"))
+    return out.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"))
