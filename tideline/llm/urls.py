@@ -1,9 +1,9 @@
 """URL filters: a blocked Bloom filter of listed canonical URLs before an exact hash join.
 
-A listed entry is a host and a path prefix. Every URL gives the candidates that could be listed:
-a suffix of its host's labels with a prefix of its path, for the shapes (labels, length) that
-occur in the list. The Bloom filter passes few of the candidates that are not listed, and an
-exact join removes those. All steps are built-in expressions.
+A listed entry is a host and a path prefix. Every URL gives the suffixes of its host, and for
+those that are listed the prefixes of its path that are as long as one of that host's entries. The
+Bloom filter holds the listed hosts and entries and passes few candidates that are not listed; exact
+joins remove those. All steps are built-in expressions.
 """
 
 from __future__ import annotations
@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.storage import materialize
+from tideline.storage import materialize, scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK_BITS, BITS_PER_ENTRY = 256, 16
-#: Lists of more entries are joined by shuffle: below, the filter (40 bytes a block) and the
-#: entries are broadcast, a few MB at most.
-MOST_BROADCAST = 20_000
+#: Lists of more entries or bytes are joined by shuffle: below, the filter (40 bytes a block) and the
+#: entries are broadcast.
+MOST_BROADCAST, MOST_BYTES = 20_000, 4 << 20
+#: Between host and path in the filter's keys; a host has none.
+BORDER = "/"
 
 
 def host_of(url: Column) -> Column:
@@ -72,30 +74,38 @@ def filter_urls(pages: DataFrame, listed: DataFrame, default: str = "allow", kee
     entry wins. Returns ``keep`` (default ``page_id``), ``host``, ``path``, ``rule`` (host and path of
     the entry, else null) and ``verdict`` (the entry's, else ``default``). URLs that are null or
     have no ``://`` have an empty host and path and fit only an entry for that. Entries that are
-    listed twice with different verdicts: the greater verdict in order wins. Null hosts or paths
-    of entries count as empty. Repeated rows stay; other columns are ignored; an empty list gives
+    listed twice with different verdicts: the greater verdict in order wins; of entries of one length
+    the one that is greater as a text. Null hosts or paths of entries count as empty; a listed path that is
+    neither empty nor begins with a slash fits no URL. Repeated rows stay; other columns are ignored; an empty list gives
     ``default`` everywhere. URLs are judged once per distinct host and path, so a hot URL
     is one row; the way back is a join whose large side adaptive execution can split.
     """
     keep = ["page_id"] if keep is None else keep
-    entries = listed.select(F.translate(F.coalesce("host", F.lit("")), UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
-    entries = entries.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
-    entries = materialize(entries.select(F.concat("host", "path").alias("key"), "verdict", _labels(F.col("host")).alias("labels"), F.char_length("path").alias("chars")), "url-list")
-    n = entries.count()
-    shapes = [(r.labels, r.chars) for r in entries.select("labels", "chars").distinct().orderBy("labels", "chars").collect()]
-    blocks = max(1, -(-n * BITS_PER_ENTRY // BLOCK_BITS))
-    near = F.broadcast if n <= MOST_BROADCAST else (lambda x: x)
-
-    urls = pages.select(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    own = urls.select("host", "path").distinct()
-    options = [
-        F.when((_labels(F.col("host")) >= labels) & (F.char_length("path") >= chars), F.concat(F.substring_index("host", ".", -labels), F.substring("path", 1, chars)))
-        for labels, chars in shapes
-    ]
-    candidates = own.select("host", "path", F.explode(F.filter(F.array(*options) if options else F.array().cast("array<string>"), lambda x: x.isNotNull())).alias("key"))
-    possible = maybe_listed(candidates, near(blocked_bloom(entries, blocks)), blocks)
-    exact = possible.join(near(entries.select("key", "verdict")), "key")
-    best = exact.groupBy("host", "path").agg(F.max(F.struct(F.char_length("key").alias("n"), "key", "verdict")).alias("best"))
-    best = materialize(best.select("host", "path", F.col("best.key").alias("rule"), F.col("best.verdict").alias("verdict")), "url-verdicts")
+    spark = pages.sparkSession
+    entries = listed.select(F.translate(F.coalesce("host", F.lit("")), UPPER, LOWER).alias("suffix"), F.coalesce("path", F.lit("")).alias("prefix"), "verdict")
+    with scratch(spark) as kept:
+        entries = materialize(entries.groupBy("suffix", "prefix").agg(F.max("verdict").alias("verdict")), "url-list")
+        hosts = materialize(entries.groupBy("suffix").agg(F.collect_set(F.char_length("prefix")).alias("lengths")), "url-hosts")
+        n, size = entries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("suffix") + F.octet_length("prefix")), F.lit(0))).first()
+        near = F.broadcast if n <= MOST_BROADCAST and size <= MOST_BYTES else (lambda x: x)
+        blocks = max(1, -(-(n + hosts.count()) * BITS_PER_ENTRY // BLOCK_BITS))
+        full = F.concat("suffix", F.lit(BORDER), "prefix").alias("key")
+        bloom = materialize(blocked_bloom(entries.select(full).union(hosts.select("suffix")), blocks), "url-bloom")
+        counts = hosts.agg(F.collect_set(_labels(F.col("suffix"))).alias("counts"))  # one row
+
+        urls = _urls(pages, keep)
+        own = urls.select("host", "path").distinct().crossJoin(F.broadcast(counts))
+        suffixes = F.expr(r"transform(filter(counts, n -> n <= size(split(host, '[.]'))), n -> substring_index(host, '.', -n))")
+        listed_hosts = maybe_listed(own.select("host", "path", F.explode(suffixes).alias("suffix")).withColumn("key", F.col("suffix")), near(bloom), blocks).join(near(hosts), "suffix")
+        prefixes = F.expr("transform(filter(lengths, n -> n <= char_length(path)), n -> substring(path, 1, n))")
+        candidates = listed_hosts.select("host", "path", "suffix", F.explode(prefixes).alias("prefix")).withColumn("key", full)
+        exact = maybe_listed(candidates, near(bloom), blocks).join(near(entries), ["suffix", "prefix"])
+        rule = F.concat("suffix", "prefix")
+        best = exact.groupBy("host", "path").agg(F.max(F.struct(F.char_length(rule).alias("n"), rule.alias("rule"), "verdict")).alias("best"))
+        best = kept(materialize(best.select("host", "path", "best.rule", "best.verdict"), "url-verdicts"))
     judged = urls.join(best, ["host", "path"], "left")
     return judged.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+
+
+def _urls(pages: DataFrame, keep: list[str]) -> DataFrame:
+    return pages.select(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
