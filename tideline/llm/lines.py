@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.storage import drop_path, fresh_path, materialize
+from tideline.storage import drop_path, fresh_path, materialize, scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STRIPPED = " \t\n\x0b\f\r"
@@ -97,22 +97,24 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout
     lines = own.select(batch.alias("batch"), "id", F.xxhash64("text").alias("text_hash"), F.posexplode(text_lines(F.col("text"))).alias("place", "line"))
     lines = lines.withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_chars)
     lines = lines.select("batch", "id", "text_hash", "place", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
-    place = fresh_path(spark, "lines")
-    lines.write.partitionBy("batch").parquet(place)
-    lines = spark.read.schema("id long, text_hash long, place int, h1 long, h2 long, batch int").parquet(place)
-
-    runs, verdicts = LineRuns(spark, buckets, fanout), []
-    for b in range(len(bounds) + 1):
-        keys = lines.where(F.col("batch") == b).groupBy(*KEY).agg(F.min("id").alias("low"), F.max("id").alias("high"))
-        seen = materialize(runs.known(keys), "line-keys")
-        if b < len(bounds):
-            runs.add(seen.where(~F.col("known")))
-        twice = seen.where(F.col("known") | (F.col("low") < F.col("high")))
-        verdicts.append(twice.select(F.lit(b).alias("batch"), *KEY, F.when(~F.col("known"), F.col("low")).alias("keeper")))
-    runs.close()
-    ruled = reduce(DataFrame.unionByName, verdicts)
-    dropped = lines.join(ruled, ["batch", *KEY]).where(F.col("keeper").isNull() | (F.col("id") != F.col("keeper")))
-    return materialize(dropped.groupBy("id", "text_hash").agg(F.collect_set("place").alias("drops")), "line-drops")
+    with scratch(spark) as keep:
+        place = fresh_path(spark, "lines")
+        lines.write.partitionBy("batch").parquet(place)
+        lines = spark.read.schema("id long, text_hash long, place int, h1 long, h2 long, batch int").parquet(place)
+        runs, verdicts = LineRuns(spark, buckets, fanout), []
+        try:
+            for b in range(len(bounds) + 1):
+                keys = lines.where(F.col("batch") == b).groupBy(*KEY).agg(F.min("id").alias("low"), F.max("id").alias("high"))
+                seen = materialize(runs.known(keys), "line-keys")
+                if b < len(bounds):
+                    runs.add(seen.where(~F.col("known")))
+                twice = seen.where(F.col("known") | (F.col("low") < F.col("high")))
+                verdicts.append(twice.select(F.lit(b).alias("batch"), *KEY, F.when(~F.col("known"), F.col("low")).alias("keeper")))
+        finally:
+            runs.close()
+        ruled = reduce(DataFrame.unionByName, verdicts)
+        dropped = lines.join(ruled, ["batch", *KEY]).where(F.col("keeper").isNull() | (F.col("id") != F.col("keeper")))
+        return keep(materialize(dropped.groupBy("id", "text_hash").agg(F.collect_set("place").alias("drops")), "line-drops"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 3, buckets: int | None = None) -> DataFrame:

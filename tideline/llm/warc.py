@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tideline.llm.batches import map_rows
-from tideline.storage import fresh_path, materialize
+from tideline.storage import drop_path, fresh_path, materialize, scratch
 
 #: An archive is closed at this many bytes of payload or records.
 MOST_BYTES, MOST_RECORDS = 32 << 20, 20_000
@@ -245,11 +245,15 @@ def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
     ``record_type`` and ``refers_to`` (the response's page; null for responses). Null html is an
     empty payload; empty payloads are equal payloads too. Repeated rows are records of their own,
     one of them the response. Other columns are ignored. The payloads are never shuffled: only
-    digests and verdicts are, and the join that spreads a hot digest can be split.
+    digests and verdicts are, and the join that spreads a hot digest can be split. The archives stay in
+    ``folder``; without one only the normalised members do.
     """
     spark = pages.sparkSession
-    folder = folder or fresh_path(spark, "warc")
-    written = materialize(write_archives(pages, f"{folder}/raw"), "warc-written")
-    tasks = max(1, min(written.select("archive").distinct().count(), MOST_TASKS))
-    done = materialize(normalize_archives(classify(written), f"{folder}/raw", f"{folder}/members", tasks), "warc-done")
-    return read_archives(done.repartition(tasks), f"{folder}/members")
+    place = folder or fresh_path(spark, "warc")
+    with scratch(spark) as keep:
+        written = materialize(write_archives(pages, f"{place}/raw"), "warc-written")
+        tasks = max(1, min(written.select("archive").distinct().count(), MOST_TASKS))
+        done = keep(materialize(normalize_archives(classify(written), f"{place}/raw", f"{place}/members", tasks), "warc-done"))
+        if folder is None:  # nobody asked for the monolithic archives
+            drop_path(spark, f"{place}/raw")
+    return read_archives(done.repartition(tasks), f"{place}/members")
