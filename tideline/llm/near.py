@@ -2,18 +2,27 @@
 
 Documents are sets of word shingles. A tree's root branches every document by the minimum of its
 set under some hash functions (its minwise tokens); two documents with Jaccard similarity s meet
-in one branch with probability s. Nodes that are still large branch again by further tokens,
-small ones are compared exhaustively, and independent trees are repeated until a pair at the
-threshold is missed with a probability of ``(1 - threshold) ** (trees * branch)``, below 1e-6.
+in one branch with probability s. Nodes that are still large branch again by further tokens, which
+keeps a pair with probability ``1 - (1 - s) ** branch`` a level; small ones are compared exhaustively,
+and independent trees are repeated. With 3 trees of 3 branches a pair at the threshold of 0.8 is
+missed with a probability of 0.2 ** 9 = 5e-7 if its nodes are small, 2e-6 if they branch 6 times.
 
-Comparisons inside a node use 8-bit minwise signatures to find candidates; every link that counts
+Comparisons inside a node use 8-bit minwise signatures to find candidates (a pair at the threshold
+fails that with a probability of 2e-8); every link that counts
 is confirmed on the full sets, built from the texts. Only connectivity matters to the
 result, so a node first proposes a spanning forest of its likely links. When those are confirmed
 or refuted, nodes whose documents are not all in one component are compared again: documents
 with a candidate in another component get their full sets of shingle hashes, all such pairs of the
 node are compared on these, and a spanning forest of the true links is confirmed. Pairs that
-fail never leave the node. Nodes that do not shrink by branching (groups of near copies) are linked
-through a few pivots and compared across components in blocks.
+fail never leave the node.
+
+Nodes that do not shrink by branching (near copies, pages made from one template) are linked
+through a few pivots. Then the documents outside a node's largest component meet the whole node in
+blocks if they are few. If they are many, an exact prefix filter keeps the work in proportion: in the
+order of their frequency in the node, rarest first, a linked pair has its first common shingle
+among the first of both. Shingles of at most RARE documents make nodes of their own; a pair whose
+first common shingle is more frequent has so few rare ones, and such sizes, that it is looked for
+among documents of fitting sizes only.
 """
 
 from __future__ import annotations
@@ -23,21 +32,25 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tideline.llm.batches import TwoGenerations, map_rows
-from tideline.storage import materialize
+from tideline.storage import materialize, scratch
 
 #: Signature bytes; standard errors below the threshold at which a pair is still a candidate.
-SIGNATURE, MARGIN = 128, 4.5
+SIGNATURE, MARGIN = 128, 6.0
 #: Nodes up to SMALL documents are compared exhaustively; pivots of a dense node; a child with
 #: DENSE of its parent's documents does not shrink; levels of branching.
 SMALL, PIVOTS, DENSE, DEPTH = 1024, 4, 0.5, 6
+#: Documents that share a shingle that is rare in a crowded node; sizes in one band differ by less than this.
+RARE, BAND = 64, 1.02
 #: Tables of ids up to this many rows are broadcast.
 MOST_BROADCAST = 200_000
+#: Bytes of full sets that a node is compared on at once; beyond, its pairs are confirmed on texts.
+MOST_BYTES = 32 << 20
 U = np.uint64
 
 
@@ -168,19 +181,25 @@ def forest(c: dict, percent: int) -> list[tuple]:
 
 
 def involved(c: dict, percent: int) -> list[tuple]:
-    """``node, id, label`` of the documents with a candidate in another component. Rows with a
-    ``side`` are candidates across sides only."""
+    """``node, id, label, pair`` of the documents with a candidate in another component. Rows with a
+    ``side`` are candidates across sides only, and only if both are in the other's ``reach``. Where the
+    full sets would be too large to hold, the candidate pairs themselves (``pair`` is 1)."""
     if (c["label"] == c["label"][0]).all():
         return []
     if "side" in c:
         p, q = np.flatnonzero(c["side"] == 0), np.flatnonzero(c["side"] == 1)
         i, j, _ = likely(c["sig"][p], c["n"][p], c["sig"][q], c["n"][q], percent)
         i, j = p[i], q[j]
+        near = (c["n"][i] <= c["reach"][j]) & (c["n"][j] <= c["reach"][i])
+        i, j = i[near], j[near]
     else:
         i, j, _ = candidate_pairs(c, percent)
     across = c["label"][i] != c["label"][j]
-    at = np.unique(np.concatenate([i[across], j[across]]))
-    return [(int(c["node"][k]), int(c["id"][k]), int(c["label"][k])) for k in at]
+    i, j = i[across], j[across]
+    at = np.unique(np.concatenate([i, j]))
+    if 8 * c["n"][at].sum() > MOST_BYTES:
+        return [(*ordered(int(c["id"][a]), int(c["id"][b])), 0, 1) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    return [(int(c["node"][k]), int(c["id"][k]), int(c["label"][k]), 0) for k in at]
 
 
 def true_links(c: dict, percent: int) -> list[tuple]:
@@ -204,8 +223,8 @@ def true_links(c: dict, percent: int) -> list[tuple]:
 
 def by_node(rows: DataFrame, work: Callable[[dict], list[tuple]], names: tuple[str, ...] = ("a", "b")) -> DataFrame:
     """The distinct results of ``work`` on the rows of every node with several. Nodes are of bounded
-    size (SMALL, or two blocks of half of it); rows come sorted by node, and a batch's last node
-    waits for the next batch."""
+    size (SMALL, or two blocks of half of it) and, with full sets, of bounded bytes; rows come
+    sorted by node, and a batch's last node waits for the next batch."""
     schema = T.StructType([T.StructField(x, T.LongType()) for x in names])
     arrow = to_arrow_schema(schema)
 
@@ -263,7 +282,7 @@ class NearJoin:
         same = self.sets.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("id"))
         self.same = materialize(same.where("id is not null"), "near-same")
         first = self.sets.where("n > 0").select("hi", "lo", "n", F.col("doc_id").alias("id"), "sig", "roots").dropDuplicates(["hi", "lo", "n", "id"])
-        self.reps = materialize(self.same.join(first, ["hi", "lo", "n", "id"]).select("id", "n", "sig", "roots"), "near-reps")
+        self.reps = materialize(self.same.join(first, ["hi", "lo", "n", "id"]).select("id", "hi", "n", "sig", "roots"), "near-reps")
 
     def near(self, table: DataFrame) -> DataFrame:
         return F.broadcast(table) if table.count() <= MOST_BROADCAST else table
@@ -290,7 +309,7 @@ class NearJoin:
             level += 1
 
     def with_sets(self, members: DataFrame) -> DataFrame:
-        return members.join(self.reps.select("id", "n", "sig"), "id")
+        return members.join(self.reps.select("id", "hi", "n", "sig"), "id")
 
     def pivot_pairs(self, dense: DataFrame) -> DataFrame:
         """Every member of a dense node with the likeliest of the node's pivots."""
@@ -311,34 +330,76 @@ class NearJoin:
         best = shares.groupBy("node", "id").agg(F.max_by("pivot", F.struct("share", "pivot")).alias("pivot"))
         return best.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
 
-    def cells(self, dense: DataFrame) -> DataFrame:
-        """Dense nodes (``node, id, label``) cut into cells of bounded size: what is not in a node's
-        largest component meets the whole node, in pairs of blocks."""
-        counts = materialize(dense.groupBy("node", "label").count(), "near-dense")
-        main = counts.groupBy("node").agg(F.max_by("label", "count").alias("main"), F.sum("count").alias("all"), F.max("count").alias("most")).where("`all` > most")
-        rows = self.with_sets(dense.join(self.near(materialize(main, "near-main")), "node"))
+    def blocks(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        """Every left row (``node, id, n, sig, label, reach``) meets every right row of its node, in cells
+        of two blocks of bounded size."""
         half = SMALL // 2
-        wide, few = F.ceil(F.col("all") / half).cast("int"), F.ceil((F.col("all") - F.col("most")) / half).cast("int")
-        spot = F.xxhash64("id", F.lit(3))
-        outside = F.col("label") != F.col("main")
-        left = rows.where(outside).withColumns({"i": F.pmod(spot, few.cast("bigint")), "j": F.explode(F.sequence(F.lit(0), wide - 1))})
-        right = rows.withColumns({"i": F.explode(F.sequence(F.lit(0), few - 1)), "j": F.pmod(spot, wide.cast("bigint"))})
-        cell = F.xxhash64("node", F.col("i").cast("bigint"), F.col("j").cast("bigint")).alias("node")
-        return left.select(cell, "id", "n", "sig", "label", F.lit(0).alias("side")).union(right.select(cell, "id", "n", "sig", "label", F.lit(1).alias("side")))
-
-    def links_across(self, rows: DataFrame) -> DataFrame:
-        """True links across components among the rows (``node, id, n, sig, label``) of nodes or cells."""
-        percent, k = self.percent, self.k
-        found = materialize(by_node(rows, lambda c: involved(c, percent), ("node", "id", "label")), "near-involved")
-        ids = materialize(found.select(F.col("id").alias("doc_id")).distinct(), "near-across")
-        texts = self.docs.join(self.near(ids), "doc_id").dropDuplicates()
+        sizes = left.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / half).alias("l")).join(right.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / half).alias("r")), "node")
+        sizes = self.near(materialize(sizes, "near-blocks"))
+        spot, each = F.xxhash64("id", F.lit(3)), lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+        left = left.join(sizes, "node").withColumns({"i": F.pmod(spot, F.col("l")), "j": each(F.col("r"))})
+        right = right.join(sizes, "node").withColumns({"i": each(F.col("l")), "j": F.pmod(spot, F.col("r"))})
+        cell = F.xxhash64("node", "i", "j").alias("node")
+        return left.select(cell, "id", "n", "sig", "label", "reach", F.lit(0).alias("side")).union(right.select(cell, "id", "n", "sig", "label", "reach", F.lit(1).alias("side")))
+
+    def cells(self, dense: DataFrame, main: DataFrame) -> DataFrame:
+        """What is not in a node's largest component meets the whole node."""
+        rows = self.with_sets(dense.join(self.near(main.select("node", "main")), "node")).withColumn("reach", F.lit((1 << 62)).cast("double"))
+        return self.blocks(rows.where("label <> main"), rows)
+
+    def full_sets(self, ids: DataFrame, kind: str) -> DataFrame:
+        """``id, hi, set`` of every different text of the documents ``id``; ``kind`` is binary or array<bigint>."""
+        k = self.k
+        texts = self.docs.join(self.near(materialize(ids.select(F.col("id").alias("doc_id")).distinct(), "near-across")), "doc_id").dropDuplicates()
 
         def make():
             cached = TwoGenerations(word_hash)
-            return lambda rows: [(i, shingle_hashes(tokens(t), k, cached.__getitem__).tobytes()) for i, t in rows]
 
-        sets = materialize(map_rows(texts, make, [("id", "bigint"), ("set", "binary")]), "near-full")
-        return by_node(found.join(sets.where(F.length("set") > 0), "id"), lambda c: true_links(c, percent))
+            def work(rows):
+                sets = ((i, shingle_hashes(tokens(t), k, cached.__getitem__)) for i, t in rows)
+                return [(i, int(s.sum().view(np.int64)), s.tobytes() if kind == "binary" else s.view(np.int64).tolist()) for i, s in sets if len(s)]
+
+            return work
+
+        return materialize(map_rows(texts, make, [("id", "bigint"), ("hi", "bigint"), ("set", kind)]), "near-full")
+
+    def crowded(self, dense: DataFrame, main: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The prefix filter over nodes with many documents outside their largest component ``main``:
+        small nodes (``node, id, label``) of the documents that share a rare shingle among the first of
+        theirs, and cells of documents whose sizes allow links without one.
+
+        With threshold t a link needs ``t / (1 + t) * (n + m)`` common shingles. If the first one is not
+        among the r rare ones of a document of n, the other has at most ``n / t - r * (1 + t) / t``: the
+        document's ``reach``."""
+        t = self.percent / 100
+        rows = self.with_sets(dense.join(self.near(main.select("node", "main")), "node"))
+        members = materialize(rows.select("node", "id", "hi", "label", "main", "n"), "near-crowd")
+        held = members.join(self.full_sets(members, "array<bigint>").select("id", "hi", F.explode("set").alias("token")), ["id", "hi"])
+        rare = materialize(held.groupBy("node", "token").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") <= RARE), "near-rare")
+        own = Window.partitionBy("node", "id", "hi")
+        ranked = held.join(rare, ["node", "token"]).withColumns({"rank": F.row_number().over(own.orderBy("f", "token")), "r": F.count(F.lit(1)).over(own)})
+        ranked = ranked.withColumn("met", (F.col("f") > 1) & (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1))
+        ranked = materialize(ranked.where("rank = 1 or met"), "near-ranked")
+        shared = ranked.where("met").select(F.xxhash64("node", "token").alias("node"), "id", "label").distinct()
+
+        counts = ranked.where("rank = 1").select("node", "id", "hi", "r")
+        reach = F.col("n") / t - F.coalesce("r", F.lit(0)) * (1 + t) / t + 1e-6
+        able = members.join(counts, ["node", "id", "hi"], "left").withColumn("reach", reach).where(F.col("reach") >= t * F.col("n"))
+        able = materialize(able.join(self.reps.select("id", "hi", "sig"), ["id", "hi"]), "near-able")
+        band = lambda n: F.floor(F.log(n) / float(np.log(BAND)))
+        larger = able.withColumn("band", F.explode(F.sequence(band(F.ceil(t * F.col("n") - 1e-6)), band(F.greatest(F.floor(F.least("reach", F.col("n").cast("double"))), F.lit(1))))))
+        smaller = able.withColumn("band", band(F.col("n")))
+        outside, shape = F.col("label") != F.col("main"), lambda df, kind: df.select(F.xxhash64("node", "band", F.lit(kind)).alias("node"), "id", "n", "sig", "label", "reach")
+        first = self.blocks(shape(larger.where(outside), 0), shape(smaller, 0))
+        return shared, first.union(self.blocks(shape(larger.where(~outside), 1), shape(smaller.where(outside), 1)))
+
+    def links_across(self, rows: DataFrame) -> DataFrame:
+        """True links across components among the rows (``node, id, n, sig, label``) of nodes or cells."""
+        percent = self.percent
+        found = materialize(by_node(rows, lambda c: involved(c, percent), ("node", "id", "label", "pair")), "near-involved")
+        sets = self.full_sets(found.where("pair = 0"), "binary")
+        links = by_node(found.where("pair = 0").join(sets, "id"), lambda c: true_links(c, percent))
+        return links.union(found.where("pair = 1").select(F.col("node").alias("a"), F.col("id").alias("b")))
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """``a, b, linked``: whether the full sets of shingles are similar enough."""
@@ -378,7 +439,15 @@ class NearJoin:
         named = F.coalesce("label", F.col("id"))
         small, dense = (x.join(labels, "id", "left").select("node", "id", named.alias("label")) for x in (small, dense))
         open_nodes = small.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("node")
-        again = self.links_across(self.with_sets(small.join(open_nodes, "node"))).union(self.links_across(self.cells(dense)))
+        again = self.links_across(self.with_sets(small.join(open_nodes, "node")))
+        counts = materialize(dense.groupBy("node", "label").count(), "near-dense")
+        main = counts.groupBy("node").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most")).where("`all` > most")
+        main = materialize(main.withColumn("many", F.col("all") - F.col("most") > SMALL // 2), "near-main")
+        if not main.isEmpty():
+            again = again.union(self.links_across(self.cells(dense, main.where("not many"))))
+        if not main.where("many").isEmpty():
+            shared, sized = self.crowded(dense, main.where("many"))
+            again = again.union(self.links_across(self.with_sets(shared))).union(self.links_across(sized))
         again = self.confirm(again).where("linked")
         return labels if again.isEmpty() else components(linked.union(again))
 
@@ -393,10 +462,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
     percent * union``. Equal sets are linked and handled once. Rows with equal ids are one document
     that has the links of all its texts; rows with a null id are linked with nothing.
     """
-    join = NearJoin(docs, words, percent, trees, branch, seed)
-    labels = join.labels()
-    same = join.same.join(labels, "id", "left").select("hi", "lo", F.col("n").alias("m"), F.coalesce("label", F.col("id")).alias("component"))
-    same = materialize(same.groupBy("hi", "lo", "m").agg(F.min("component").alias("component")), "near-components")
+    with scratch(docs.sparkSession) as keep:
+        join = NearJoin(docs, words, percent, trees, branch, seed)
+        keep(join.sets)
+        labels = join.labels()
+        same = join.same.join(labels, "id", "left").select("hi", "lo", F.col("n").alias("m"), F.coalesce("label", F.col("id")).alias("component"))
+        same = keep(materialize(same.groupBy("hi", "lo", "m").agg(F.min("component").alias("component")), "near-components"))
     rows = join.sets.select("doc_id", "n", "hi", "lo")
     found = rows.join(same, (rows.hi == same.hi) & (rows.lo == same.lo) & (rows.n == same.m), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", F.col("doc_id")))
