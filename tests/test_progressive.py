@@ -4,12 +4,18 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.functions.growth import final_count, fixed_power, growth_fit
+from tideline.functions.distinct import horvitz_share, horvitz_thompson, lgamma
+from tideline.functions.growth import final_count, fixed_power, growth_fit, line_fit
 from tideline.functions.metrics import accuracy, coverage
 from tideline.functions.scaling import chebyshev, scale
 from tideline.operators.epochs import key_epochs, progress, row_epochs, shuffled_epochs
 from tideline.operators.progressive import blocked, pair_snapshots, snapshots
+from tideline.operators.state import SnapshotState
+from tideline.plans.progressive import PLANS, estimates
+from tideline.plans.registry import QUERIES
+from tideline.sources.chunks import bind_chunk, chunk, epoch_rows
 from tideline.sources.tables import load
+from tideline.streaming.online import parse, select_online
 
 SF = "/root/testdata/sf0.001"
 P = 10
@@ -149,3 +155,101 @@ def test_empty_input(spark):
     none = spark.createDataFrame([], "epoch int, g string, x double")
     assert snapshots(none, ["g"], ["x"], 3).isEmpty()
     assert snapshots(none, [], ["x"], 3).isEmpty()
+
+
+def test_line_fit_is_the_window_fit(spark):
+    rng = np.random.default_rng(2)
+    sizes = [(e, int(rng.integers(50, 60) * (e + 1) ** 0.8)) for e in range(6)]
+    done = spark.createDataFrame([(e, 0, (e + 1) / 6) for e in range(6)], "epoch int, rows long, fraction double")
+    fit = {r.epoch: r for r in growth_fit(spark.createDataFrame(sizes, "epoch int, group_rows long"), done).collect()}
+    for e in range(6):
+        power, spread = line_fit([(math.log((k + 1) / 6), math.log(n)) for k, n in sizes[: e + 1]])
+        assert power == pytest.approx(fit[e].power)
+        assert spread == (fit[e].slope_var if e < 1 else pytest.approx(fit[e].slope_var, abs=1e-12))
+    assert line_fit([]) == (0.0, None) and line_fit([(0.0, 1.0), (0.0, 2.0)]) == (0.0, None)
+
+
+def test_a_replayed_chunk_changes_nothing(spark, small):
+    df, rows = small
+    state = SnapshotState(spark, ["g"], ["x"], 30, variance=True, mins=["x"], maxs=["x"])
+    whole = {(r.epoch, r.g): r for r in snapshots(df, ["g"], ["x"], 3, mins=["x"], maxs=["x"], variance=True).collect()}
+    for e in (0, 1, 1, 2, 1, 2):
+        state.add(e, df.where(F.col("epoch") == e), 10)
+        got = {(r.epoch, r.g): r for r in state.snapshot().collect()}
+        assert got.keys() == {k for k in whole if k[0] == e}
+        assert all((r.group_rows, r.x_sum, r.x_min, r.x_max) == (whole[k].group_rows, whole[k].x_sum, whole[k].x_min, whole[k].x_max) and r.x_var == pytest.approx(whole[k].x_var) for k, r in got.items())
+    assert state.fraction == 1.0 and {r.g: r.n_final for r in state.estimate().collect()} == {g: float(whole[2, g].group_rows) for g in "abc" if (2, g) in whole}
+    none = SnapshotState(spark, [], ["x"], 0)
+    none.add(0, df.where("false"), 0)
+    assert none.estimate().isEmpty() and none.fraction == 1.0
+
+
+def test_a_chunk_reads_its_own_files_only(spark):
+    """Epoch 0 of a query with joins: files of epoch 0 of the tables that are cut."""
+    plan = PLANS["prog_q5"]
+    bind_chunk(spark, SF, plan.sql, P, 0, plan.cut)
+    files = spark.sql(plan.sql).inputFiles()
+    large = [f for f in files if "prepared-lineitem" in f or "prepared-orders" in f]
+    assert len(large) >= 2 and all("/epoch=0/" in f for f in large)
+    assert not any(f.endswith((f"{SF}/lineitem.parquet", f"{SF}/orders.parquet")) for f in files)
+    rows = sum(chunk(spark, SF, "lineitem", P, e).count() for e in range(P))
+    assert rows == load(spark, SF, "lineitem").count() == sum(epoch_rows(spark, SF, "lineitem", P).values())
+
+
+def test_closing_a_run_stops_it(spark):
+    run = estimates(PLANS["prog_q6"], spark, SF)
+    number, fraction, df = next(run)
+    assert number == 0 and 0 < fraction < 0.5 and df.count() == 1
+    run.close()
+    with pytest.raises(StopIteration):
+        next(run)
+
+
+EXACT_NAMES = {f"prog_q{i}": f"tpch_q{i}" for i in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 17, 18, 19, 21)} | {f"prog_q{i}": f"ola_q{i}" for i in (23, 24, 25, 26, 27)}
+
+
+@pytest.mark.parametrize("name", sorted(EXACT_NAMES))
+def test_last_snapshot_is_the_exact_answer(spark, name):
+    sf = "/root/testdata/sf0.01"
+    last = QUERIES[name](spark, sf).where(F.col("epoch") == P - 1).drop("epoch").toPandas()
+    exact = QUERIES[EXACT_NAMES[name]](spark, sf).toPandas()
+    shared = [c for c in exact.columns if c in last.columns]
+    assert len(exact) > 0 and set(last.columns) <= set(exact.columns)
+
+    def rows(df):
+        return sorted((tuple(float(v) if isinstance(v, (int, float, np.number)) else v for v in r) for r in df[shared].itertuples(index=False)), key=lambda r: tuple(str(v) if not isinstance(v, float) else f"{v:020.3f}" for v in r))
+
+    if name == "prog_q8":  # the progressive form has the share of three nations
+        assert set(last.o_year) == set(exact.o_year)
+        return
+    got, expected = rows(last), rows(exact)
+    assert len(got) == len(expected)
+    for a, b in zip(got, expected, strict=True):
+        assert all(x == pytest.approx(y, rel=1e-6, abs=0.06) if isinstance(x, float) else x == y for x, y in zip(a, b, strict=True))
+
+
+def test_online_statements():
+    text = "SELECT ONLINE SUM(l_extendedprice * (1 - l_discount)) FROM lineitem, orders WHERE l_orderkey = o_orderkey WITHTIME 60000 CONFIDENCE 95 REPORTINTERVAL 1000;"
+    s = parse(text)
+    assert (s.seconds, s.every, s.plan.table, s.plan.sums) == (60.0, 1.0, "lineitem", ["v"]) and str(chebyshev(0.95)) in s.plan.result["half"]
+    assert parse("select online count(*) from orders where o_totalprice > 5 withtime 5 confidence 90").plan.result["estimate"] == "n_final"
+    for bad in ("SELECT SUM(x) FROM lineitem", "SELECT ONLINE SUM(p_size) FROM part WHERE true WITHTIME 1 CONFIDENCE 95"):
+        with pytest.raises(ValueError):
+            parse(bad)
+
+
+def test_an_online_run_keeps_its_budget(spark):
+    text = "SELECT ONLINE COUNT(*) FROM lineitem WHERE l_quantity < 25 WITHTIME {} CONFIDENCE 95 REPORTINTERVAL {}"
+    assert len(list(select_online(spark, SF, text.format(0, 0)))) == 1
+    reports = list(select_online(spark, SF, text.format(10**7, 10**7)))
+    assert [r.epoch for r in reports] == [0, P - 1]
+    assert reports[-1].fraction == 1.0 and reports[-1].estimate == load(spark, SF, "lineitem").where("l_quantity < 25").count()
+
+
+def test_lgamma_column(spark):
+    xs = [0.1, 0.5, 1.0, 2.0, 3.7, 10.0, 1e3, 1e6, 1e9]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").select("x", lgamma(F.col("x")).alias("y"))
+    assert all(r.y == pytest.approx(math.lgamma(r.x), rel=1e-12, abs=1e-10) for r in df.collect())
+    cases = [(3, 10, 1.0), (1, 100, 0.5), (50, 60, 0.9), (2, 1000, 0.01), (1, 1, 0.5)]
+    df = spark.createDataFrame(cases, "a long, n long, f double").withColumn("s", horvitz_share(F.col("a"), F.col("n"), F.col("f")))
+    assert all(r.s == pytest.approx(horvitz_thompson(r.a, r.n, r.f), rel=1e-9) for r in df.collect())

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideline import storage
 from tideline.operators.aggregates import argmax, first_last, keep_first
 from tideline.operators.joins import broadcast_if_small, compare_scalar, hash_join, merge_join, not_exists
 from tideline.plans.trace import plan_nodes, to_dot
@@ -29,6 +30,25 @@ def test_swapped_outer_join_keeps_unmatched_rows_once(spark):
     assert sorted((r.c, r.o) for r in hash_join(chunk, small, ["oc"], ["c"], "left", swap=True).fillna(-1).collect()) == [(1, 8), (1, 9), (2, -1)]
 
 
+def test_outer_joins_keep_the_keys_of_both_sides(spark):
+    left = spark.createDataFrame([(1, "a", 7), (2, "b", 8), (None, "n", 9)], "k int, l string, v int")
+    right = spark.createDataFrame([(2, "x", 5), (3, "y", 6), (None, "z", 4)], "j int, r string, v int")
+    rows = lambda how: sorted(((r.k, r.l, r.r, r.v, r.v_right) for r in hash_join(left, right, ["k"], ["j"], how).collect()), key=repr)
+    inner, only_left, only_right = (2, "b", "x", 8, 5), [(1, "a", None, 7, None), (None, "n", None, 9, None)], [(3, None, "y", None, 6), (None, None, "z", None, 4)]
+    assert rows("inner") == [inner]
+    assert rows("left") == sorted([inner, *only_left], key=repr)
+    assert rows("right") == sorted([inner, *only_right], key=repr)
+    assert rows("full") == sorted([inner, *only_left, *only_right], key=repr)
+
+
+def test_several_rows_are_no_scalar(spark):
+    rows = spark.createDataFrame([(1,), (2,)], "a int")
+    two = spark.createDataFrame([(1,), (1,)], "b int")
+    with pytest.raises(Exception, match="one row expected"):
+        compare_scalar(rows, two, F.col("a") > F.col("b")).collect()
+    assert compare_scalar(rows, two.limit(0), F.col("a") > F.col("b")).isEmpty()
+
+
 def test_scalar_pairing(spark):
     rows = spark.createDataFrame([("a", 5), ("b", 10), ("c", 15)], "name string, value int")
     for limit, names in ((7, ["b", "c"]), (12, ["c"])):
@@ -77,11 +97,49 @@ def test_files(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(0, 1), (1, 2)], "epoch int, v int")
     write_epochs(df, str(tmp_path / "o"), "accuracy")
-    assert spark.read.csv(str(tmp_path / "o/final"), header=True).collect()[0].v == "2"
+    assert (tmp_path / "o/final.csv").read_text() == (tmp_path / "o/1.csv").read_text() == "v\n2\n" and (tmp_path / "o/0.csv").read_text() == "v\n1\n"
     write_delimited(df, str(tmp_path / "p"), sep="|")
     assert spark.read.csv(str(tmp_path / "p"), header=True, sep="|").count() == 2
 
 
+def test_command_line_writes_every_estimate_and_its_time(spark, tmp_path, monkeypatch):
+    import json
+    import sys
+
+    from tideline import cli
+
+    monkeypatch.setattr(cli, "drop_intermediate", lambda spark: None)  # other tests share the session
+    monkeypatch.setattr(sys, "argv", ["tideline", "prog_q6", "/root/testdata/sf0.001", str(tmp_path), "accuracy"])
+    cli.main()
+    meta = json.loads((tmp_path / "meta.json").read_text())
+    assert len(meta["time_measures_ns"]) == 10 and meta["time_measures_ns"] == sorted(meta["time_measures_ns"]) and meta["result_dir"] == str(tmp_path)
+    assert (tmp_path / "final.csv").read_text() == (tmp_path / "9.csv").read_text() and (tmp_path / "0.csv").read_text().startswith("revenue")
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    conf = SimpleNamespace(get=lambda key, default: default, set=lambda key, value: None)
+    session = lambda master: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn"):
+        with pytest.raises(ValueError):
+            storage.shared_dir(session(master))
+    assert storage.shared_dir(session("local[2]")) and storage.shared_dir(session("local"))
+
+
+def test_scratch_deletes_what_is_not_kept(spark):
+    with storage.scratch(spark) as keep:
+        gone = storage.materialize(spark.range(5), "gone")
+        left = keep(storage.materialize(gone.where("id > 1"), "left"))
+    assert left.count() == 3 and not storage.exists(spark, gone.stored_at) and storage.exists(spark, left.stored_at)
+    made = []
+    for _ in range(2):
+        path = storage.prepared(spark, "src", "t", lambda p: (made.append(p), spark.range(3).write.parquet(p)))
+    assert made == [path]
+    storage.drop_path(spark, path)
+    assert storage.prepared(spark, "src", "t", lambda p: spark.range(3).write.parquet(p)) != path
+
+
 def test_stream_gives_the_batch_snapshots(spark, tmp_path):
     lines = load(spark, "/root/testdata/sf0.001", "lineitem", ["l_orderkey", "l_returnflag", "l_quantity"])
     epochs = lines.withColumn("epoch", F.pmod("l_orderkey", F.lit(3)).cast("int"))

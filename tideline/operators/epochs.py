@@ -11,18 +11,23 @@ def key_epochs(df: DataFrame, epochs: int, key: str) -> DataFrame:
     return df.withColumn("epoch", F.pmod(F.col(key), F.lit(epochs)).cast("int"))
 
 
-#: Two rounds of a multiplicative generator modulo a prime scatter keys; any SQL engine can say them.
-PRIME, FIRST, SECOND = 2147483647, 48271, 16807
+#: A multiplicative generator modulo a prime scatters keys; any SQL engine can say it.
+PRIME, FACTOR = 2147483647, 48271
+
+
+def _factor(seed: int) -> int:
+    """Another multiplier for every seed."""
+    return pow(FACTOR, 2 * seed + 1, PRIME)
 
 
 def scattered(key: Column, seed: int) -> Column:
     """A number from 0 to PRIME - 1 for every whole key."""
-    first = F.pmod(F.pmod(key.cast("bigint"), F.lit(PRIME)) * FIRST + F.lit(seed), F.lit(PRIME))
-    return F.pmod(first * SECOND + F.lit(seed), F.lit(PRIME))
+    return F.pmod(F.pmod(key.cast("bigint"), F.lit(PRIME)) * F.lit(_factor(seed)), F.lit(PRIME))
 
 
 def scattered_sql(key: str, seed: int) -> str:
-    return f"(((({key} % {PRIME}) * {FIRST} + {seed}) % {PRIME}) * {SECOND} + {seed}) % {PRIME}"
+    """The same for keys that are not negative."""
+    return f"((({key}) % {PRIME}) * {_factor(seed)} % {PRIME})"
 
 
 def shuffled_epochs(df: DataFrame, epochs: int, key: str, seed: int) -> DataFrame:

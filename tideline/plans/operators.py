@@ -14,7 +14,7 @@ from tideline.functions.growth import fixed_power, growth_fit
 from tideline.functions.metrics import accuracy
 from tideline.functions.scaling import half_width, ratio_variance, scale
 from tideline.operators.aggregates import argmax, first_last, keep_first
-from tideline.operators.epochs import FIRST, PRIME, SECOND, key_epochs, progress, row_epochs, scattered_sql, shuffled_epochs
+from tideline.operators.epochs import PRIME, key_epochs, progress, row_epochs, scattered_sql, shuffled_epochs
 from tideline.operators.mapping import apply, apply_at_end, apply_with_fraction
 from tideline.operators.joins import compare_scalar, exists, hash_join, merge_join, not_exists
 from tideline.operators.progressive import blocked, blocked_rows, pair_snapshots, snapshots
@@ -123,8 +123,7 @@ def convert_integer_cents(spark, sf_dir):
 
 
 def _number(k: int) -> str:
-    seed = 4512763 + 7919 * k
-    return f"CAST(CAST(floor(((((id + 1) * {FIRST} + {seed}) % {PRIME}) * {SECOND} + {seed}) % {PRIME} / 1000.0) AS BIGINT) % 4 AS INT)"
+    return f"CAST(CAST(floor({scattered_sql('id + 1', 4512763 + 7919 * k)} / 1000.0) AS BIGINT) % 4 AS INT)"
 
 
 @query(f"SELECT {', '.join(f'{_number(k)} AS c{"i" * (k + 1)}' for k in range(10))}, {_number(10)} AS x FROM (SELECT unnest(range((SELECT count(*) FROM orders))) AS id)")
