@@ -122,7 +122,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), leaf: int = 2048,
     """Choose how often every row of ``docs`` (``doc_id, source, text``) is taken.
 
     Returns ``doc_id``, ``size`` (words), ``source_size``, ``target`` (words its source should give),
-    ``copies`` and ``taken`` (``copies * size``). Null texts have size 0 and are taken 0 words; a null
+    ``copies`` and ``taken`` (``copies * size``). Texts without words, and null ones, have size 0 and no copy; a null
     source is a source of its own, the last. Each source's taken words differ from the target by
     less than one of its documents. The choice depends on ids, sizes and ``seed`` only, never on
     how the rows are partitioned; repeated rows are taken each on its own. A source of any size is
@@ -159,5 +159,5 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), leaf: int = 2048,
         out = done[0]
         for more in done[1:]:
             out = out.unionByName(more)
-    copies = F.col("whole") + F.col("share").cast("int")
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.col("share").cast("int")).otherwise(F.lit(0))
     return out.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"))
