@@ -21,6 +21,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STRIPPED = " \t\n\x0b\f\r"
 KEY = ["h1", "h2"]
 LAST_ID = (1 << 63) - 1
+#: Bytes of hashes in a bucket of a run that has all keys.
+BUCKET_BYTES = 32 << 20
 
 
 def line_key(line: Column) -> Column:
@@ -89,7 +91,6 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout
     first document to bring a key is the one that keeps it.
     """
     spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "text")
     bounds = own.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     bounds = sorted(set(bounds))
@@ -101,6 +102,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout
         place = fresh_path(spark, "lines")
         lines.write.partitionBy("batch").parquet(place)
         lines = spark.read.schema("id long, text_hash long, place int, h1 long, h2 long, batch int").parquet(place)
+        # buckets by bytes, at least one a core: every bucket of every run is a file
+        buckets = buckets or max(spark.sparkContext.defaultParallelism, 16 * lines.count() // BUCKET_BYTES)
         runs, verdicts = LineRuns(spark, buckets, fanout), []
         try:
             for b in range(len(bounds) + 1):
