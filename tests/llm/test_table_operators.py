@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.oracle_tools import connect, rows_of
-from tideline.llm import near
+from tideline import storage
+from tideline.llm import mixing, near
 from tideline.llm.lines import LineRuns, dedup_lines
 from tideline.llm.mixing import MOST, mix, pivotal
 from tideline.llm.near import near_duplicates
@@ -82,6 +83,30 @@ def test_runs_are_disjoint_and_compacted(spark):
     assert not runs.runs()
 
 
+def test_runs_are_deleted_when_a_batch_fails(spark, monkeypatch):
+    tables = lambda: {t.name for t in spark.catalog.listTables() if t.name.startswith("line_run")}
+    before, known = tables(), LineRuns.known
+    calls = []
+
+    def failing(self, keys):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return known(self, keys)
+
+    monkeypatch.setattr(LineRuns, "known", failing)
+    docs = spark.createDataFrame([(i, f"a line of text {i % 3}\nand another {i}") for i in range(40)], "doc_id long, text string")
+    with pytest.raises(RuntimeError):
+        dedup_lines(docs)
+    assert tables() == before
+
+
+def test_a_very_long_text_and_a_very_frequent_line(spark):
+    rows = [(i, "a very frequent line\n" * 50 + f"own line {i}") for i in range(300)] + [(1000, "\n".join(f"line number {i % 20_000}" for i in range(60_000)))]
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.kept_text, r.n_lines, r.n_dropped) for r in out.collect()) == brute_lines(rows)
+
+
 # --- urls
 
 
@@ -116,6 +141,15 @@ def test_many_listed_urls_have_no_false_positives(spark, monkeypatch, limit):
     assert filter_urls(pages.limit(0), listed).isEmpty() and filter_urls(pages, listed.limit(0)).where("verdict <> 'allow'").isEmpty()
 
 
+def test_a_list_of_many_shapes(spark):
+    """Thousands of lengths and depths of hosts make one small plan; hosts and paths are not mixed up."""
+    rules = [("x" * (i % 7) + f"h{i}.net", "/" + "p" * i, "block") for i in range(2000)] + [("a", "b", "block"), ("ab", "", "allow"), ("a.b.c.d.e.f", "/z", "block")]
+    pages = [(i, f"http://sub.{'x' * (i % 7)}h{i}.net/" + "p" * (i + i % 3 - 1)) for i in range(0, 2000, 50)] + [(9000, "http://ab"), (9001, "http://a/b"), (9002, "http://1.a.b.c.d.e.f/z")]
+    out = filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string"))
+    assert {(r.page_id, r.rule, r.verdict) for r in out.collect()} == {(i, *brute_url(u, rules)[2:]) for i, u in pages}
+    assert len(out._jdf.queryExecution().executedPlan().toString()) < 100_000
+
+
 # --- archives
 
 
@@ -214,6 +248,35 @@ def test_mix_meets_targets(spark):
     assert mix(docs.limit(0)).isEmpty()
 
 
+def test_one_id_on_many_rows_is_dealt_out(spark):
+    """A third of all rows have one id and size, others no id: no group is larger than the rest."""
+    rows = [(7, "one two three", "a")] * 20_000 + [(None, "four", "a")] * 20_000 + [(i, "w " * (i % 9 + 1), "ab"[i % 2]) for i in range(100, 20_100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    sizes = []
+    work = mixing.round_groups
+
+    def counted(rows, seed, last):
+        sizes.append(rows.groupBy("source_key", "bucket").agg(F.sum("times").alias("n")).agg(F.max("n")).first()[0])
+        return work(rows, seed, last)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(mixing, "round_groups", counted)
+        out = mix(docs, leaf=512)
+    assert max(sizes) < 4 * 512 and out.count() == len(rows)
+    got = out.groupBy("doc_id", "size").count().where("doc_id = 7 or doc_id is null").collect()
+    assert {(r.doc_id, r.size, r["count"]) for r in got} == {(7, 3, 20_000), (None, 1, 20_000)}
+    by = out.groupBy("target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(by) == 2 and all(abs(r.taken - r.target) <= 10 for r in by)
+    again = mix(docs.repartition(3), leaf=512).groupBy("doc_id", "taken").count()
+    assert again.exceptAll(out.groupBy("doc_id", "taken").count()).isEmpty()
+
+
+def test_large_ids_beside_null_ids_stay_exact(spark):
+    big = (1 << 62) + 1
+    out = mix(spark.createDataFrame([(big, "a b", "s"), (None, "c", "s"), (big + 1, "d", None)], "doc_id long, text string, source string"))
+    assert sorted(r.doc_id or 0 for r in out.collect()) == [0, big, big + 1]
+
+
 # --- near-duplicates
 
 
@@ -265,6 +328,66 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, small):
     assert got == brute_near(rows, 4)
 
 
+def templates(rng, n, slots=0):
+    """Pages of 88 shared words and 12 own ones, below the threshold for each other; with ``slots`` the
+    own words come from so many, and their number differs."""
+    core = [f"t{i}" for i in range(88)]
+    own = (lambda: f"s{rng.integers(slots)}") if slots else (lambda: f"o{rng.integers(10**9)}")
+    return [" ".join([own() for _ in range(int(rng.integers(4, 14)) if slots else 12)] + core) for _ in range(n)]
+
+
+@pytest.mark.parametrize("rare", [2, 16])
+def test_crowded_nodes_against_brute_force(spark, monkeypatch, rare):
+    """Many components in nodes that do not shrink: the prefix filter finds all links."""
+    monkeypatch.setattr(near, "SMALL", 16)
+    monkeypatch.setattr(near, "RARE", rare)
+    rng = np.random.default_rng(rare)
+    texts = templates(rng, 60) + templates(rng, 60, 12) + variants(rng, 20, 120, 6)
+    for _ in range(30):
+        words = [f"t{i}" for i in range(88)]
+        for _ in range(int(rng.integers(1, 6))):
+            words[int(rng.integers(88))] = f"z{rng.integers(40)}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    got = {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()}
+    assert got == brute_near(rows, 4)
+
+
+def test_pages_of_one_template_are_not_compared_in_pairs(spark, monkeypatch):
+    """Rows in cells and small nodes of the second pass grow in proportion to the pages."""
+    monkeypatch.setattr(near, "SMALL", 64)
+    made, blocks, links = [], near.NearJoin.blocks, near.NearJoin.links_across
+    for n in (300, 600):
+        seen = []
+
+        def counted(self, rows, seen=seen):
+            seen.append(rows.count())
+            return links(self, rows)
+
+        monkeypatch.setattr(near.NearJoin, "links_across", counted)
+        docs = spark.createDataFrame(list(enumerate(templates(np.random.default_rng(n), n))), "doc_id long, text string")
+        assert near_duplicates(docs, words=4).where("kept").count() == n
+        made.append(sum(seen))
+    assert made[1] <= 3 * max(made[0], n) and near.NearJoin.blocks is blocks
+
+
+def test_full_sets_of_large_nodes_are_not_held(spark, monkeypatch):
+    monkeypatch.setattr(near, "MOST_BYTES", 1000)
+    rng = np.random.default_rng(5)
+    rows = list(enumerate(variants(rng, 25, 120, 6) + variants(rng, 25, 90, 6)))
+    got = {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()}
+    assert got == brute_near(rows, 4)
+
+
+def test_near_copies_of_a_very_long_text(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{rng.integers(10**6)}" for _ in range(30_000)]
+    other = [w if i % 100 else "changed" for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:20_000])), (4, " ".join(words[::-1]))]
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: c for i, (_, c) in out.items()} == {1: 1, 2: 1, 3: 3, 4: 4} and out[1][0] == len({tuple(words[i : i + 5]) for i in range(29_996)})
+
+
 def test_near_edges(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, None, "b"), (None, "same words here", "c"), (3, "same words here", "d"), (4, "same words here", "e"), (4, "same words here", "e")], "doc_id long, text string, hi string")
     out = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs).collect())
@@ -321,6 +444,39 @@ def test_pipeline_drops_unlearned_scripts(spark):
     assert sum(i < 1_000_000 for i in kept) >= docs.count() - 3
 
 
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_tables(spark, name):
+    """Empty tables, repeated rows, null ids and nulls in every column, extra columns."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    empty = spark.createDataFrame([], DOCS)
+    assert stage(spark, empty, SF).isEmpty()
+    text = "the quick brown fox and the lazy dog of the old town\nwith another line of words"
+    rows = [(i, f"{text} number {i} {'x' * i}", "en", "s", 1, "k") for i in range(20)] + [(3, text, "en", "s", 1, "k")] * 3 + [(None, f"{text} of no id", "en", None, None, None)] * 2 + [(50, None, None, None, None, None), (51, "", "en", "s", 0, "k")]
+    docs = spark.createDataFrame(rows, f"{DOCS}, size string").withColumn("drops", F.col("size"))
+    out = stage(spark, docs, SF)
+    if name != "SentencePiece":
+        assert out.columns == corpus_pipeline.COLUMNS
+    got = Counter(r.doc_id for r in out.collect())
+    every = Counter(r[0] for r in rows)
+    if name in ("line dedup", "SentencePiece"):
+        assert got == every
+    if name == "language ID":
+        assert got == every - Counter([50, 51])
+    if name == "MinHash near-dedup":
+        assert got[None] == 2 and got[50] == got[51] == 1 and sum(got.values()) < len(rows)
+    if name == "mixing":
+        assert got[50] == got[51] == 0 and set(got) == set(every) - {50, 51}
+
+
+def test_run_deletes_what_it_stored(spark, tmp_path):
+    """The whole pipeline, and what is left in the shared folder afterwards."""
+    spark.createDataFrame([(i, f"the quick brown fox number {i} and the lazy dog\nline {i % 3}", "en", f"s{i % 3}", 1) for i in range(60)], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    before = len(storage._MADE)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    left = storage._MADE[before:]
+    assert out.count() > 0 and len([p for p in left if storage.exists(spark, p)]) == 1
+
+
 def test_mixing_stage_keeps_null_ids(spark):
     docs = spark.createDataFrame([(i if i else None, f"some clean words of text {i}", "en", "s", 1) for i in range(6)], DOCS)
     assert sorted(r.doc_id or 0 for r in corpus_pipeline.mixing(spark, docs, SF).collect()) == list(range(6))
