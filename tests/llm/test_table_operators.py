@@ -465,7 +465,7 @@ def test_stages_take_odd_tables(spark, name):
     if name == "MinHash near-dedup":
         assert got[None] == 2 and got[50] == got[51] == 1 and sum(got.values()) < len(rows)
     if name == "mixing":
-        assert got[50] == got[51] == 0 and set(got) == set(every) - {50, 51}
+        assert got[50] == got[51] == 0 and set(got) < set(every) and all(n % every[i] == 0 for i, n in got.items()) and sum(got.values()) > 5
 
 
 def test_run_deletes_what_it_stored(spark, tmp_path):
