@@ -353,6 +353,38 @@ def test_crowded_nodes_against_brute_force(spark, monkeypatch, rare):
     assert got == brute_near(rows, 4)
 
 
+def test_shingles_of_one_page_are_not_joined(spark, monkeypatch):
+    """Of a crowded node's shingles only those leave their count that several of its pages have."""
+    monkeypatch.setattr(near, "SMALL", 64)
+    stored, made = near.materialize, {}
+
+    def watched(df, name, *more):
+        made[name] = stored(df, name, *more)
+        if name == "near-ranked":
+            made["most"], made["least"] = made[name].count(), made[name].agg(F.min("f")).first()[0]
+        return made[name]
+
+    monkeypatch.setattr(near, "materialize", watched)
+    rng = np.random.default_rng(8)
+    texts = templates(rng, 150) + [x for t in templates(rng, 50) for x in (t, f"{t} end")]
+    rows = list(enumerate(texts))
+    got = {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()}
+    assert made["least"] == 2 and made["most"] > 0
+    assert got == brute_near(rows, 4)
+
+
+def test_crowded_nodes_with_equal_ids(spark, monkeypatch):
+    """A document that comes twice, with equal sets of shingles, holds every shingle once: pages with 14
+    words of their own are linked with those with 7, over frequent shingles only."""
+    monkeypatch.setattr(near, "SMALL", 16)
+    monkeypatch.setattr(near, "RARE", 4)
+    core = " ".join(f"t{i}" for i in range(88))
+    rows = [(i, " ".join(f"o{i}x{j}" for j in range(7 if i in (20, 40) else 14)) + f" {core}") for i in range(60)]
+    docs = spark.createDataFrame([(i, x) for i, t in rows for x in (t, t.upper())], "doc_id long, text string")
+    got = {tuple(r) for r in near_duplicates(docs, words=4).collect()}
+    assert got == brute_near(rows, 4)
+
+
 def test_pages_of_one_template_are_not_compared_in_pairs(spark, monkeypatch):
     """Rows in cells and small nodes of the second pass grow in proportion to the pages."""
     monkeypatch.setattr(near, "SMALL", 64)

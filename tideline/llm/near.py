@@ -370,21 +370,30 @@ class NearJoin:
 
         With threshold t a link needs ``t / (1 + t) * (n + m)`` common shingles. If the first one is not
         among the r rare ones of a document of n, the other has at most ``n / t - r * (1 + t) / t``: the
-        document's ``reach``."""
+        document's ``reach``. Shingles of one document are the first in order and meet nothing: they are
+        only counted (``lone``), not joined."""
         t = self.percent / 100
         rows = self.with_sets(dense.join(self.near(main.select("node", "main")), "node"))
-        members = materialize(rows.select("node", "id", "hi", "label", "main", "n"), "near-crowd")
-        held = members.join(self.full_sets(members, "array<bigint>").select("id", "hi", F.explode("set").alias("token")), ["id", "hi"])
-        rare = materialize(held.groupBy("node", "token").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") <= RARE), "near-rare")
-        own = Window.partitionBy("node", "id", "hi")
-        ranked = held.join(rare, ["node", "token"]).withColumns({"rank": F.row_number().over(own.orderBy("f", "token")), "r": F.count(F.lit(1)).over(own)})
-        ranked = ranked.withColumn("met", (F.col("f") > 1) & (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1))
+        # rows with equal ids may be members twice, and two of their texts the same set
+        members = materialize(rows.select("node", "id", "hi", "label", "main", "n").distinct(), "near-crowd")
+        sets = self.full_sets(members, "array<bigint>").dropDuplicates(["id", "hi"])
+        held = members.join(sets.select("id", "hi", F.explode("set").alias("token")), ["id", "hi"])
+        rare = held.groupBy("node", "token").agg(F.count(F.lit(1)).alias("f"), F.min("id").alias("id"), F.min("hi").alias("hi")).where(F.col("f") <= RARE)
+        alone = F.col("f") == 1
+        rare = materialize(rare.select("node", "f", F.when(~alone, F.col("token")).alias("token"), F.when(alone, F.col("id")).alias("id"), F.when(alone, F.col("hi")).alias("hi")), "near-rare")
+        own = ["node", "id", "hi"]
+        lone = materialize(rare.where(alone).groupBy(*own).agg(F.count(F.lit(1)).alias("lone")), "near-lone")
+        shared = held.join(rare.where(~alone).select("node", "token", "f"), ["node", "token"]).join(lone, own, "left")
+        each = Window.partitionBy(*own)
+        ranked = shared.withColumns({"rank": F.row_number().over(each.orderBy("f", "token")), "r": F.count(F.lit(1)).over(each)})
+        ranked = ranked.withColumn("met", F.col("rank") + F.coalesce("lone", F.lit(0)) <= F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1)
         ranked = materialize(ranked.where("rank = 1 or met"), "near-ranked")
         shared = ranked.where("met").select(F.xxhash64("node", "token").alias("node"), "id", "label").distinct()
 
-        counts = ranked.where("rank = 1").select("node", "id", "hi", "r")
-        reach = F.col("n") / t - F.coalesce("r", F.lit(0)) * (1 + t) / t + 1e-6
-        able = members.join(counts, ["node", "id", "hi"], "left").withColumn("reach", reach).where(F.col("reach") >= t * F.col("n"))
+        counts = ranked.where("rank = 1").select(*own, "r")
+        r = F.coalesce("r", F.lit(0)) + F.coalesce("lone", F.lit(0))
+        reach = F.col("n") / t - r * (1 + t) / t + 1e-6
+        able = members.join(counts, own, "left").join(lone, own, "left").withColumn("reach", reach).where(F.col("reach") >= t * F.col("n"))
         able = materialize(able.join(self.reps.select("id", "hi", "sig"), ["id", "hi"]), "near-able")
         band = lambda n: F.floor(F.log(n) / float(np.log(BAND)))
         larger = able.withColumn("band", F.explode(F.sequence(band(F.ceil(t * F.col("n") - 1e-6)), band(F.greatest(F.floor(F.least("reach", F.col("n").cast("double"))), F.lit(1))))))
